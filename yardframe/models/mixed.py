@@ -65,7 +65,8 @@ class MixedData:
     levels: dict[str, list[str]]                          # factors held on the driver
     sums: dict[str, np.ndarray]                           # level by [1 X y] column sums
     pairs: dict[tuple[str, str], np.ndarray]
-    cells: DataFrame | None = None
+    cells: DataFrame                                      # one row per level combination
+    cell_names: list[str]                                 # design column behind each cell sum
     large: str | None = None                              # factor left distributed, if any
 
     @property
@@ -94,7 +95,7 @@ class MixedData:
             {f: lv for f, lv in self.levels.items() if f in factors},
             {f: s[:, [0, *[k + 1 for k in keep]]] for f, s in self.sums.items() if f in factors},
             {p: m for p, m in self.pairs.items() if p[0] in factors and p[1] in factors},
-            self.cells, self.large if self.large in factors else None)
+            self.cells, self.cell_names, self.large if self.large in factors else None)
 
 
 def gather(df: DataFrame, outcome: Column, terms: Sequence[Term], groups: Sequence[str],
@@ -141,7 +142,7 @@ def gather(df: DataFrame, outcome: Column, terms: Sequence[Term], groups: Sequen
                 matrix[place_a[la], place_b[lb]] = n
             pairs[a, b] = matrix
     return MixedData(spark, design, names, int(round(products[0, 0])), products, levels, sums,
-                     pairs, cells, large)
+                     pairs, cells, list(used), large)
 
 
 # ---------------------------------------------------------------- profiled deviance
@@ -174,21 +175,24 @@ class _Profile:
                 full[self.slices[i], self.slices[j]], full[self.slices[j], self.slices[i]] = m, m.T
         full[self.q:, self.q:] = data.products
         self.full = full
-        self._schur_at: tuple[float, np.ndarray] | None = None
-
-    def _reduced(self, theta1: float) -> np.ndarray:
-        if self._schur_at is None or self._schur_at[0] != theta1:
-            reduced = self.full if theta1 == 0.0 else self.full - self.block.schur(theta1)
-            self._schur_at = (theta1, reduced)
-        return self._schur_at[1]
+        self._recent: dict[float, tuple[float, np.ndarray]] = {}
+
+    def _reduced(self, theta1: float) -> tuple[float, np.ndarray]:
+        """Log-determinant and reduced cross-products; the last few points are remembered,
+        as one may cost a Spark job."""
+        if theta1 not in self._recent:
+            if len(self._recent) >= 8:
+                self._recent.pop(next(iter(self._recent)))
+            self._recent[theta1] = (0.0, self.full) if theta1 == 0.0 else (
+                self.block.log_det(theta1), self.full - self.block.schur(theta1))
+        return self._recent[theta1]
 
     def solve(self, theta: Sequence[float]) -> dict:
         """Solve the penalized least squares problem at ``theta`` (first factor first)."""
         q, p, data = self.q, self.p, self.data
-        m = self._reduced(theta[0])
+        log_det, m = self._reduced(float(theta[0]))
         scale = np.concatenate([np.full(w, t) for w, t in zip(self.widths, theta[1:])]) \
             if self.widths else np.zeros(0)
-        log_det = self.block.log_det(theta[0])
         xx, xy, yy = m[q:q + p, q:q + p], m[q:q + p, -1], m[-1, -1]
         if q:
             lower = np.linalg.cholesky(scale[:, None] * m[:q, :q] * scale + np.eye(q))
@@ -228,16 +232,21 @@ def _local_block(counts: np.ndarray, table: np.ndarray) -> _Block:
 _NO_BLOCK = _Block(lambda theta: 0.0, lambda theta: 0.0)
 
 
+def _padded(counts: str, length: int) -> Column:
+    """Array of the given length from a map of position to count, zero where absent."""
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(length - 1).cast("bigint")),
+                       lambda i: F.coalesce(F.try_element_at(F.col(counts), i), F.lit(0.0)))
+
+
 def _level_rows(data: MixedData, others: Sequence[str]) -> DataFrame:
-    """Row per level of the distributed factor: count and its sums over the other columns.
+    """Row per level of the distributed factor: row count, and its sums over all other columns.
 
-    Each factor's counts become one array that is as long as the factor has levels.
+    Another factor's counts fill one slot per level, so a row is as long as the reduced system.
     """
-    width = len(data.names) + 1
     cells = data.cells
+    used = [f"s{data.cell_names.index(name)}" for name in [*data.names, "_y"]]
     out = cells.groupBy(F.col(data.large).alias("level")).agg(
-        F.sum("n").cast("double").alias("n"),
-        *[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)])
+        F.sum("n").cast("double").alias("n"), *[F.sum(s).alias(s) for s in used])
     arrays = []
     for k, g in enumerate(others):
         # the index holds at most SYSTEM_WIDTH rows
@@ -248,11 +257,8 @@ def _level_rows(data: MixedData, others: Sequence[str]) -> DataFrame:
                         .groupBy("level")
                         .agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias(f"m{k}")))
         out = out.join(entries, "level")
-        arrays.append(F.transform(
-            F.sequence(F.lit(0).cast("bigint"), F.lit(len(data.levels[g]) - 1).cast("bigint")),
-            lambda i, k=k: F.coalesce(F.try_element_at(F.col(f"m{k}"), i), F.lit(0.0))))
-    sums = F.array(*[F.col(f"s{i}") for i in range(width)])
-    return out.select("level", "n", F.concat(*arrays, sums).alias("w"))
+        arrays.append(_padded(f"m{k}", len(data.levels[g])))
+    return out.select("level", "n", F.concat(*arrays, F.array(*used)).alias("w"))
 
 
 def _spread_block(rows: DataFrame) -> _Block:
