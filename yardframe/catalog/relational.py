@@ -8,7 +8,7 @@ from yardframe.catalog.base import ERAS, MAX_RANK, SEASON, SPAN, TEAM, register
 from yardframe.catalog.steps import BACK_RUNS, FIRST_ROWS, PLAYER_PLAYS
 from yardframe.functions.nulls import (
     if_else, null_fill, paste, ratio, row_count, strict_mean, strict_mean_where, strict_sum, sum_where,
-    threshold_flag, weighted_mean,
+    threshold_flag, weighted_mean, without_nulls,
 )
 from yardframe.functions.text import (
     decode_player_ids, season_of_game, separate, to_integer, unite,
@@ -191,8 +191,8 @@ SELECT game_id, play_id FROM plays WHERE epa IS NOT NULL AND posteam_type IS NOT
 AND shotgun IS NOT NULL AND pass_location IS NOT NULL AND air_yards IS NOT NULL
 AND passer_id IS NOT NULL AND receiver_id IS NOT NULL""")
 def _(t):
-    return t.plays.dropna(subset=["epa", "posteam_type", "shotgun", "pass_location", "air_yards",
-                                  "passer_id", "receiver_id"]).select(*KEY)
+    return without_nulls(t.plays, ["epa", "posteam_type", "shotgun", "pass_location", "air_yards",
+                                   "passer_id", "receiver_id"]).select(*KEY)
 
 
 # ---------------------------------------------------------------- joins

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yardframe.functions.nulls import without_nulls
 from yardframe.catalog.analyses import BOTH, _players
 from yardframe.catalog.base import register
 from yardframe.catalog.steps import PLAYER_PLAYS
@@ -177,7 +178,7 @@ def _(t):
 
 def _line_rows(t) -> DataFrame:
     runs = player_plays.run_model_rows(_players(t, with_strength=False))
-    return runs.dropna(subset=["epa", "rush_position", "down"])
+    return without_nulls(runs, ["epa", "rush_position", "down"])
 
 
 @register("mixed_backward_step")

@@ -6,7 +6,10 @@ return null as soon as one input row of the group is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +21,15 @@ def row_count() -> Column:
     return F.count(F.lit(1))
 
 
+def without_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with a value in every listed column.
+
+    One test per column lets each be pushed to its own side of a join. ``dropna`` makes a single
+    test over all columns, whose rewritings grow exponentially in the optimizer.
+    """
+    return reduce(lambda rows, name: rows.filter(F.col(name).isNotNull()), dict.fromkeys(columns), df)
+
+
 def if_else(test: Column, yes: Column, no: Column) -> Column:
     """Null test gives null, unlike ``when(...).otherwise(...)``."""
     return F.when(test, yes).when(~test, no)

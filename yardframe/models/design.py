@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from yardframe.functions.nulls import without_nulls
+
 MAX_LEVELS = 500
 
 
@@ -110,7 +112,7 @@ def complete_cases(df: DataFrame, outcome: Column, terms: Sequence[Term],
     picked.update({t.name: t.column() for t in terms})
     rows = df.select(outcome.cast("double").alias("_y"),
                      *[c.alias(name) for name, c in picked.items()])
-    return rows.dropna(subset=["_y", *groups, *[t.name for t in terms]])
+    return without_nulls(rows, ["_y", *groups, *[t.name for t in terms]])
 
 
 def plain(terms: Sequence[Term]) -> list[Term]:

@@ -22,6 +22,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from yardframe.functions.nulls import without_nulls
 from yardframe.models.design import (
     Design, Term, complete_cases, cross_products, independent, plain,
 )
@@ -577,7 +578,7 @@ def fixed_ratio_intercepts(rows: DataFrame, group: str, outcome: str, theta: flo
     means and each group is shrunk towards it.
     """
     square = theta ** 2
-    groups = settle(rows.dropna(subset=[group, outcome]).groupBy(F.col(group).alias("level"))
+    groups = settle(without_nulls(rows, [group, outcome]).groupBy(F.col(group).alias("level"))
                     .agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean")))
     weight = F.col("n") / (1.0 + F.col("n") * F.lit(square))
     base = groups.agg((F.sum(weight * F.col("mean")) / F.sum(weight)).alias("b")).first()["b"]

@@ -43,11 +43,12 @@ def _pairs(on: str | Sequence[str] | Mapping[str, str]) -> list[tuple[str, str]]
 
 def lookup_join(detail: DataFrame, side: DataFrame, on: str | Sequence[str] | Mapping[str, str],
                 null_safe: bool = False, salt_on: Sequence[str] = (),
-                cells: int | None = None) -> DataFrame:
+                cells: int | None = None, small: bool | None = None) -> DataFrame:
     """Left join that adds the non-key columns of ``side`` to ``detail``.
 
     ``on`` names the keys, as a mapping where the two sides differ. ``null_safe`` lets a null key
-    match a null key. Duplicate keys in ``side`` multiply the detail rows.
+    match a null key. Duplicate keys in ``side`` multiply the detail rows. ``small`` passes on the
+    result of an earlier ``fits_broadcast`` for the same side.
     """
     pairs = _pairs(on)
     keys = {f"_key{i}": right for i, (_, right) in enumerate(pairs)}
@@ -56,7 +57,7 @@ def lookup_join(detail: DataFrame, side: DataFrame, on: str | Sequence[str] | Ma
         *[F.col(right).alias(name) for name, right in keys.items()],
         *[F.col(name) for name in side.columns if name not in right_names],
     )
-    if fits_broadcast(side, cells):
+    if fits_broadcast(side, cells) if small is None else small:
         return _joined(detail, F.broadcast(side), pairs, list(keys), null_safe)
     spread = list(salt_on) or [name for name in ("game_id", "play_id") if name in detail.columns] \
         or detail.columns
@@ -95,12 +96,15 @@ def suffixed_left_join(left: DataFrame, right: DataFrame, on: Sequence[str],
     )
 
 
-def role_join(detail: DataFrame, rosters: DataFrame, roles: Mapping[str, str]) -> DataFrame:
+def role_join(detail: DataFrame, rosters: DataFrame, roles: Mapping[str, str],
+              small: bool | None = None) -> DataFrame:
     """Join one roster several times: ``roles`` maps a player-id column to the new column.
 
-    The roster is cut to its id and position, so that each role adds one column.
+    The roster is cut to its id and position, so that each role adds one column, and counted once.
     """
+    people = rosters.select("gsis_id", "position")
+    small = fits_broadcast(people) if small is None else small
     for id_column, position_column in roles.items():
-        side = rosters.select("gsis_id", F.col("position").alias(position_column))
-        detail = lookup_join(detail, side, {id_column: "gsis_id"}, null_safe=True)
+        detail = lookup_join(detail, people.withColumnRenamed("position", position_column),
+                             {id_column: "gsis_id"}, null_safe=True, small=small)
     return detail

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yardframe.functions.nulls import null_fill, row_count, strict_mean
+from yardframe.functions.nulls import null_fill, row_count, strict_mean, without_nulls
 from yardframe.functions.text import decode_player_ids, unite
 from yardframe.models.design import Factor, Numeric
 from yardframe.models.linear import (
@@ -65,13 +65,12 @@ RUSH_COLUMNS = (
 
 def expected_rush_rows(plays: DataFrame, eras: Sequence[tuple[int, int, int]] = ERAS) -> DataFrame:
     """Runs with era, gap (``Other`` where none) and the defence's pass and run strength."""
-    runs = (
+    runs = without_nulls(
         plays.filter(F.col("play_type") == "run")
         .withColumn("era", era_of(F.col("season"), eras))
         .withColumn("run_gap", null_fill("run_gap", "Other"))
-        .select("game_id", "play_id", *RUSH_COLUMNS)
-        .dropna(subset=["yardline_100", "down", "roof"])
-    )
+        .select("game_id", "play_id", *RUSH_COLUMNS),
+        ["yardline_100", "down", "roof"])
     return lookup_join(unite(runs, "def_season", ["defteam", "season"]),
                        settle(defense_strength_split(plays)), "def_season")
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yardframe.functions.nulls import if_else, null_fill, paste
+from yardframe.functions.nulls import null_fill, paste, without_nulls
 from yardframe.functions.text import decode_player_ids
-from yardframe.operators.joins import lookup_join, role_join, settle
+from yardframe.operators.joins import fits_broadcast, lookup_join, role_join, settle
 from yardframe.plans.strength import offense_strength
 
 
@@ -21,12 +21,11 @@ def with_gap_labels(plays: DataFrame) -> DataFrame:
     A run without a location has no ``location_gap`` and the team label ``<team> NA``; a run up
     the middle has the gap ``middle``; other plays have neither.
     """
-    is_run = F.col("play_type") == "run"
-    named = if_else(is_run, paste("run_location", "run_gap"), _no_text())
-    gap = if_else(F.col("run_location") == "middle", F.lit("middle"), named)
+    # a branch that gives null needs no case of its own
+    is_run, is_middle = F.col("play_type") == "run", F.col("run_location") == "middle"
+    gap = F.when(is_middle, F.lit("middle")).when(~is_middle & is_run, paste("run_location", "run_gap"))
     return (plays.withColumn("location_gap", gap)
-                 .withColumn("team_location_gap",
-                             if_else(is_run, paste("posteam", "location_gap"), _no_text())))
+                 .withColumn("team_location_gap", F.when(is_run, paste("posteam", "location_gap"))))
 
 
 def player_plays(plays: DataFrame, rosters: DataFrame, strength: DataFrame | None = None) -> DataFrame:
@@ -36,13 +35,14 @@ def player_plays(plays: DataFrame, rosters: DataFrame, strength: DataFrame | Non
     multiplies the player's plays.
     """
     plays = decode_player_ids(plays)
+    small = fits_broadcast(rosters.select("gsis_id", "position"))
     passes = (role_join(plays.filter(F.col("receiver_id").isNotNull()), rosters,
-                        {"passer_id": "passer_position", "receiver_id": "rec_position"})
+                        {"passer_id": "passer_position", "receiver_id": "rec_position"}, small)
               .withColumn("rush_position", _no_text()))
     runs = role_join(
         plays.filter(F.col("rusher_id").isNotNull())
              .withColumns({"passer_position": _no_text(), "rec_position": _no_text()}),
-        rosters, {"rusher_id": "rush_position"})
+        rosters, {"rusher_id": "rush_position"}, small)
     both = passes.unionByName(runs)
     if strength is not None:
         both = lookup_join(both, settle(strength), "posteam", null_safe=True)
@@ -75,7 +75,7 @@ LINE_MODEL_COLUMNS = (
 def pass_model_sets(players: DataFrame) -> dict[str, DataFrame]:
     """Complete, incomplete and all passes with offence strength and non-null model columns."""
     passes = offense_strength(pass_model_rows(players), run_model_rows(players))
-    usable = passes.dropna(subset=["epa", "down", "rec_position", "air_yards", "pass_location"])
+    usable = without_nulls(passes, ["epa", "down", "rec_position", "air_yards", "pass_location"])
     filled = usable.withColumn("yards_after_catch", null_fill("yards_after_catch", 0.0))
     keep = [name for name in PASS_MODEL_COLUMNS if name in filled.columns]
     return {
@@ -86,5 +86,5 @@ def pass_model_sets(players: DataFrame) -> dict[str, DataFrame]:
 
 
 def line_model_rows(players: DataFrame) -> DataFrame:
-    return (run_model_rows(players).select(*LINE_MODEL_COLUMNS)
-            .dropna(subset=["epa", "rush_position", "down"]))
+    return without_nulls(run_model_rows(players).select(*LINE_MODEL_COLUMNS),
+                         ["epa", "rush_position", "down"])

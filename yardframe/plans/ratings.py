@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yardframe.functions.nulls import ratio, row_count, strict_mean, strict_sum
+from yardframe.functions.nulls import ratio, row_count, strict_mean, strict_sum, without_nulls
 from yardframe.models.design import Factor, Numeric
 from yardframe.models.mixed import (
     MixedFit, backward_step, fit_gathered, fit_mixed, gather,
@@ -139,8 +139,8 @@ LINE_FINAL = ("posteam_type", "shotgun", "goal_to_go", "ydstogo", "touchdown", "
 def line_selection(players: DataFrame, keys: Sequence[str] = ("game_id", "play_id")
                    ) -> tuple[DataFrame, DataFrame, SubsetSearch]:
     """Both variable searches of the line model: backward step tables, then cross-validated subsets."""
-    rows = run_model_rows(players).select(*dict.fromkeys([*keys, *LINE_MODEL_COLUMNS])).dropna(
-        subset=["epa", "rush_position", "down"])
+    rows = without_nulls(run_model_rows(players).select(*dict.fromkeys([*keys, *LINE_MODEL_COLUMNS])),
+                         ["epa", "rush_position", "down"])
     fixed, random, _ = backward_step(gather(rows, F.col("epa"), LINE_TERMS, list(LINE_GROUPS)))
     return fixed, random, cv_backward_subset(rows, F.col("epa"), LINE_TERMS, keys)
 
