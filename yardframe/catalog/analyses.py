@@ -299,6 +299,7 @@ def _(t):
 def _(t):
     rows = expected.expected_rush_rows(t.plays, ERAS)
     model = expected.expected_rush_model(rows)
+    model.release()  # the result holds only the tables below
     robust = model.robust_coefficients.select("term", F.col("std_error").alias("robust_error"),
                                               F.col("p_value").alias("robust_p_value"))
     return (model.coefficients.join(F.broadcast(robust), "term", "left")
@@ -348,7 +349,7 @@ def _team_ratings(t, passes: DataFrame) -> DataFrame:
     """Team ratings with each passer's plain mean EPA as the rating."""
     means = passes.groupBy("passer_id").agg(F.avg("epa").alias("epa_with_rec"))
     passers = ratings.named_rating(means, "passer_id", "epa_with_rec", _season_rosters(t),
-                                   ratings.workload(passes, "passer_id", "attempts"), "attempts", 15)
+                                   settle(ratings.workload(passes, "passer_id", "attempts")), "attempts", 15)
     return ratings.team_weighted_rating(passers)
 
 
@@ -369,7 +370,7 @@ def _(t):
     passes = _passes(t)
     means = passes.groupBy("receiver_id").agg(F.avg("epa").alias("epa_rec"))
     receivers = ratings.named_rating(means, "receiver_id", "epa_rec", _season_rosters(t),
-                                     ratings.workload(passes, "receiver_id", "targets"), "targets", None)
+                                     settle(ratings.workload(passes, "receiver_id", "targets")), "targets", None)
     return ratings.receiver_relative_rating(receivers, _team_ratings(t, passes), str(SEASON))
 
 

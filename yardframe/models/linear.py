@@ -200,7 +200,7 @@ def fit_logistic(df: DataFrame, outcome: Column, terms: Sequence[Term]) -> Logis
         features = array_to_vector(F.array(*[F.coalesce(columns[name], F.lit(0.0)) for name in kept]))
         solver = GeneralizedLinearRegression(
             family="binomial", link="logit", featuresCol="features", labelCol="_y",
-            regParam=0.0, tol=1e-10, maxIter=50)
+            regParam=0.0, tol=1e-8, maxIter=25)
         model = solver.fit(rows.select("_y", features.alias("features")))
         errors = model.summary.coefficientStandardErrors
     finally:

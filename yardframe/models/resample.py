@@ -45,15 +45,19 @@ def stratified_split(df: DataFrame, outcome: str, keys: Sequence[str], share: fl
     ``keys`` must identify a row. Bins and cutoffs come from counts, so no bin is ever sorted or
     held by one task.
     """
-    shares = [i / (cut_points - 1) for i in range(cut_points)]
-    cuts = sorted(set(quantiles(df, outcome, shares)))
-    marked = df.withColumns({"_bin": outcome_bin(F.col(outcome), cuts),
-                             "_digest": row_digest(keys, seed)})
-    sizes = marked.filter(F.col("_bin").isNotNull()).groupBy("_bin").count().collect()
-    take = {row["_bin"]: math.ceil(round(share * row["count"], 9)) for row in sizes}
-    cutoffs = hash_cutoffs(marked.select("_bin", "_digest"), "_bin", "_digest", take)
-    return (marked.withColumn("in_train", at_most(F.col("_digest"), F.col("_bin"), cutoffs))
-                  .drop("_bin", "_digest"))
+    digest = row_digest(keys, seed)
+    # the searches read only these two columns, several times over
+    narrow = df.select(F.col(outcome), digest.alias("_digest")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cuts = sorted(set(quantiles(narrow, outcome, [i / (cut_points - 1) for i in range(cut_points)])))
+        bin_ = outcome_bin(F.col(outcome), cuts)
+        binned = narrow.select(bin_.alias("_bin"), "_digest").filter(F.col("_bin").isNotNull())
+        take = {row["_bin"]: math.ceil(round(share * row["count"], 9))
+                for row in binned.groupBy("_bin").count().collect()}
+        cutoffs = hash_cutoffs(binned, "_bin", "_digest", take)
+    finally:
+        narrow.unpersist()
+    return df.withColumn("in_train", at_most(digest, bin_, cutoffs))
 
 
 # ---------------------------------------------------------------- subset selection

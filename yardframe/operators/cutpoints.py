@@ -15,13 +15,21 @@ BINS = 1024
 DIGITS = 3
 
 
+def _values(df: DataFrame, column: str) -> tuple[DataFrame, float, float, int]:
+    """The non-null values with their smallest, largest and count."""
+    data = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    return data, *data.agg(F.min("v"), F.max("v"), F.count("v")).first()
+
+
 def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> dict[int, float]:
     """The values at the given zero-based ranks of the non-null values of ``column``."""
-    value = F.col(column).cast("double")
-    data = df.select(value.alias("v")).filter(F.col("v").isNotNull())
-    low, high, total = data.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    data, low, high, total = _values(df, column)
     if any(not 0 <= rank < total for rank in ranks):
         raise ValueError("rank outside the data")
+    return _at_ranks(data, low, high, ranks)
+
+
+def _at_ranks(data: DataFrame, low: float, high: float, ranks: Sequence[int]) -> dict[int, float]:
     found: dict[int, float] = {}
     # each open span: (low, high, rows below it) -> the ranks that fall in it
     open_spans = {(low, high, 0): sorted(set(ranks))}
@@ -57,10 +65,12 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> dict[i
 
 def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
     """Exact quantiles with linear interpolation between neighbouring order statistics."""
-    total = df.agg(F.count(column)).first()[0]
+    data, low, high, total = _values(df, column)
+    if not total:
+        raise ValueError(f"{column} has no value")
     places = [share * (total - 1) for share in shares]
     ranks = sorted({rank for place in places for rank in (math.floor(place), math.ceil(place))})
-    values = order_statistics(df, column, ranks)
+    values = _at_ranks(data, low, high, ranks)
     result = []
     for place in places:
         lower, upper = values[math.floor(place)], values[math.ceil(place)]

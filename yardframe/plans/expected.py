@@ -90,6 +90,8 @@ def back_transform(prediction: Column, inverse: str = "exp") -> Column:
 
 @dataclass(frozen=True)
 class ExpectedRush:
+    """The fit, the scored validation rows and the diagnostics; ``release`` drops the kept rows."""
+    rows: DataFrame
     fit: LinearFit
     validation: DataFrame
     rmse: float
@@ -97,13 +99,16 @@ class ExpectedRush:
     coefficients: DataFrame
     robust_coefficients: DataFrame
 
+    def release(self) -> None:
+        self.rows.unpersist()
+
 
 def expected_rush_model(rows: DataFrame, share: float = 0.7, seed: int = 123,
                         inverse: str = "exp") -> ExpectedRush:
     """Fit on a stratified share of the rows, score the rest and test the residual variance."""
     spark = rows.sparkSession
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     split = stratified_split(rows, "yards_gained", ["game_id", "play_id"], share, seed)
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
     train, held_out = split.filter("in_train"), split.filter(~F.col("in_train"))
     outcome = F.asinh("yards_gained")
     fit = fit_linear(train, outcome, RUSH_TERMS)
@@ -112,7 +117,7 @@ def expected_rush_model(rows: DataFrame, share: float = 0.7, seed: int = 123,
         "asinh_yards_gained": F.asinh("yards_gained"),
     })
     return ExpectedRush(
-        fit, scored,
+        rows, fit, scored,
         rmse(scored, "exp_pred", "yards_gained").first()["rmse"],
         breusch_pagan(train, outcome, fit),
         fit.summary(spark),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,13 @@ def rating(fit: MixedFit, factor: str, name: str) -> DataFrame:
 
 def named_rating(ratings: DataFrame, key: str, name: str, rosters: DataFrame, loads: DataFrame,
                  load: str, above: int | None) -> DataFrame:
-    """Ratings with player names and workload, best first, for players above a workload."""
+    """Ratings with player names and workload, best first, for players above a workload.
+
+    ``loads`` is a small, already settled table.
+    """
     people = rosters.select("gsis_id", "team", "position", "full_name")
     named = lookup_join(ratings, people, {key: "gsis_id"}, null_safe=True, salt_on=[key])
-    counted = lookup_join(named, settle(loads), key, null_safe=True, salt_on=[key])
+    counted = lookup_join(named, loads, key, null_safe=True, salt_on=[key])
     if above is not None:
         counted = counted.filter(F.col(load) > above)
     return sort_desc(counted, name, key)
@@ -53,22 +57,28 @@ def player_ratings(players: DataFrame, rosters: DataFrame, attempts: int = 150,
 
     ``players`` comes from ``player_plays`` with team strength joined.
     """
-    passes, runs = pass_model_rows(players), run_model_rows(players)
-    passing = fit_mixed(passes, F.col("epa"), PASSING_TERMS, ["passer_id", "receiver_id"])
-    rushing = fit_mixed(runs, F.col("epa"), RUSHING_TERMS, ["rusher_id", "team_location_gap"])
-    line = lookup_join(rating(rushing, "team_location_gap", "line_rating"),
-                       settle(workload(runs, "team_location_gap", "rushes")), "team_location_gap",
-                       null_safe=True, salt_on=["team_location_gap"])
+    used = ["play_type", "epa", "passer_id", "receiver_id", "rusher_id", "team_location_gap",
+            *dict.fromkeys(t.name for t in (*PASSING_TERMS, *RUSHING_TERMS))]
+    kept = players.select(used).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        passes, runs = pass_model_rows(kept), run_model_rows(kept)
+        passing = fit_mixed(passes, F.col("epa"), PASSING_TERMS, ["passer_id", "receiver_id"])
+        rushing = fit_mixed(runs, F.col("epa"), RUSHING_TERMS, ["rusher_id", "team_location_gap"])
+        loads = {key: settle(workload(rows, key, name)) for rows, key, name in (
+            (passes, "passer_id", "attempts"), (passes, "receiver_id", "targets"),
+            (runs, "rusher_id", "carries"), (runs, "team_location_gap", "rushes"))}
+    finally:
+        kept.unpersist()
+    line = lookup_join(rating(rushing, "team_location_gap", "line_rating"), loads["team_location_gap"],
+                       "team_location_gap", null_safe=True, salt_on=["team_location_gap"])
+
+    def board(fit: MixedFit, key: str, name: str, load: str, above: int) -> DataFrame:
+        return named_rating(rating(fit, key, name), key, name, rosters, loads[key], load, above)
+
     return {
-        "passer": named_rating(rating(passing, "passer_id", "passer_rating"), "passer_id",
-                               "passer_rating", rosters, workload(passes, "passer_id", "attempts"),
-                               "attempts", attempts),
-        "receiver": named_rating(rating(passing, "receiver_id", "receiver_rating"), "receiver_id",
-                                 "receiver_rating", rosters, workload(passes, "receiver_id", "targets"),
-                                 "targets", targets),
-        "rusher": named_rating(rating(rushing, "rusher_id", "rusher_rating"), "rusher_id",
-                               "rusher_rating", rosters, workload(runs, "rusher_id", "carries"),
-                               "carries", carries),
+        "passer": board(passing, "passer_id", "passer_rating", "attempts", attempts),
+        "receiver": board(passing, "receiver_id", "receiver_rating", "targets", targets),
+        "rusher": board(rushing, "rusher_id", "rusher_rating", "carries", carries),
         "line": sort_desc(line.filter(F.col("rushes") > rushes), "line_rating", "team_location_gap"),
     }
 

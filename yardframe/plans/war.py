@@ -24,12 +24,18 @@ RUN_COLUMNS = (
 )
 
 
-def back_runs(plays: DataFrame, rosters: DataFrame, position: str = "RB") -> DataFrame:
-    """Runs by players of one position, with gap and defence keys and the first roster row."""
+def back_runs(plays: DataFrame, rosters: DataFrame, position: str = "RB",
+              first_rows: DataFrame | None = None) -> DataFrame:
+    """Runs by players of one position, with gap and defence keys and the first roster row.
+
+    ``first_rows`` passes on already settled first roster rows.
+    """
     runs = plays.filter(F.col("play_type") == "run").select("game_id", "play_id", *RUN_COLUMNS)
     runs = unite(runs, "team_run_gap", ["posteam", "run_location", "run_gap"])
     runs = decode_player_ids(unite(runs, "def_season", ["defteam", "season"]))
-    joined = lookup_join(runs, settle(first_roster_rows(rosters)), {"rusher_id": "gsis_id"}, null_safe=True)
+    if first_rows is None:
+        first_rows = settle(first_roster_rows(rosters))
+    joined = lookup_join(runs, first_rows, {"rusher_id": "gsis_id"}, null_safe=True)
     return joined.filter((F.col("position") == position) & F.col("rusher_id").isNotNull())
 
 
@@ -131,7 +137,8 @@ def war_career(war: DataFrame) -> DataFrame:
 
 def running_back_war(plays: DataFrame, rosters: DataFrame, max_rank: int = 64) -> DataFrame:
     """The whole chain from plays and rosters to the wins-above-replacement table."""
-    runs = back_runs(plays, rosters)
+    first_rows = settle(first_roster_rows(rosters))
+    runs = back_runs(plays, rosters, first_rows=first_rows)
     ranks = settle(carries_rank(runs))
     fit = fit_wpa(pool_replacement(with_run_defense(runs, plays), ranks, max_rank))
-    return wins_above_replacement(rusher_season_ratings(fit), ranks, settle(first_roster_rows(rosters)))
+    return wins_above_replacement(rusher_season_ratings(fit), ranks, first_rows)
