@@ -28,20 +28,25 @@ def with_gap_labels(plays: DataFrame) -> DataFrame:
                  .withColumn("team_location_gap", F.when(is_run, paste("posteam", "location_gap"))))
 
 
+def _with_player(plays: DataFrame, id_column: str) -> DataFrame:
+    """Plays that name the player; the test on the stored id reaches the scan."""
+    has_player = F.col(id_column).isNotNull()
+    return decode_player_ids(plays.filter(has_player)).filter(has_player)
+
+
 def player_plays(plays: DataFrame, rosters: DataFrame, strength: DataFrame | None = None) -> DataFrame:
     """Passes with a receiver and runs with a rusher, with positions and gap labels.
 
     A play with both a receiver and a rusher appears twice. A player listed twice in ``rosters``
     multiplies the player's plays.
     """
-    plays = decode_player_ids(plays)
     small = fits_broadcast(rosters.select("gsis_id", "position"))
-    passes = (role_join(plays.filter(F.col("receiver_id").isNotNull()), rosters,
+    passes = (role_join(_with_player(plays, "receiver_id"), rosters,
                         {"passer_id": "passer_position", "receiver_id": "rec_position"}, small)
               .withColumn("rush_position", _no_text()))
     runs = role_join(
-        plays.filter(F.col("rusher_id").isNotNull())
-             .withColumns({"passer_position": _no_text(), "rec_position": _no_text()}),
+        _with_player(plays, "rusher_id")
+        .withColumns({"passer_position": _no_text(), "rec_position": _no_text()}),
         rosters, {"rusher_id": "rush_position"}, small)
     both = passes.unionByName(runs)
     if strength is not None:

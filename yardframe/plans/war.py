@@ -30,7 +30,8 @@ def back_runs(plays: DataFrame, rosters: DataFrame, position: str = "RB",
 
     ``first_rows`` passes on already settled first roster rows.
     """
-    runs = plays.filter(F.col("play_type") == "run").select("game_id", "play_id", *RUN_COLUMNS)
+    runs = (plays.filter((F.col("play_type") == "run") & F.col("rusher_id").isNotNull())
+                 .select("game_id", "play_id", *RUN_COLUMNS))
     runs = unite(runs, "team_run_gap", ["posteam", "run_location", "run_gap"])
     runs = decode_player_ids(unite(runs, "def_season", ["defteam", "season"]))
     if first_rows is None:

@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardframe.operators.joins import fits_broadcast
+from yardframe.operators.joins import fits_broadcast, settle
 from yardframe.schemas import PLAYS, ROSTERS, TEAMS
 
 
@@ -40,14 +40,18 @@ def in_seasons(df: DataFrame, seasons: Iterable[int]) -> DataFrame:
 
 def missing_games(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows of ``incoming`` whose game the store does not hold yet."""
-    held = existing.select("game_id").distinct()
+    held = settle(existing.select("game_id").distinct())
     if fits_broadcast(held):
         held = F.broadcast(held)
     return incoming.join(held, "game_id", "left_anti")
 
 
 def append_new_games(incoming: DataFrame, path: str) -> None:
-    """Add the missing games to the play store; a second run with the same input adds nothing."""
+    """Add the missing games to the play store; a second run with the same input adds nothing.
+
+    The rebalance step gathers a season's rows into files of the advisory partition size and splits
+    a season that holds more.
+    """
     spark = incoming.sparkSession
     names = [field.name for field in PLAYS if field.name in incoming.columns]
     rows = incoming.select(names)
@@ -55,7 +59,7 @@ def append_new_games(incoming: DataFrame, path: str) -> None:
         existing = spark.read.parquet(path)
         seasons = existing.select("season", "game_id")
         rows = missing_games(rows, seasons)
-    (rows.repartition("season", F.pmod(F.xxhash64("game_id"), F.lit(16)))
+    (rows.hint("rebalance", F.col("season"))
          .write.mode("append").partitionBy("season").parquet(path))
 
 
