@@ -141,3 +141,17 @@ def test_raw_relative_uses_the_ratio_of_magnitudes(spark):
                    [("r", "T", "WR", -0.4)] * 2 + [("s", "T", "WR", 0.2)] * 2)
     found = {r["receiver"]: r["relative_epa"] for r in ratings.receiver_raw_relative(passes, 2).collect()}
     assert found == {"r": pytest.approx(4.0), "s": pytest.approx(2.0)}
+
+
+def test_line_searches_agree_on_what_they_read(spark):
+    from yardframe.catalog.base import Inputs
+
+    tables = Inputs(spark, "/root/testdata/sf0.001")
+    players = player_plays.player_plays(tables.plays, tables.rosters.filter("season = 2001"))
+    fixed, random, search = ratings.line_selection(players)
+    terms = {t.name for t in ratings.LINE_TERMS}
+    assert {r["term"] for r in fixed.collect()} <= terms
+    assert {r["factor"] for r in random.collect()} <= set(ratings.LINE_GROUPS)
+    assert [r["nvmax"] for r in search.results.orderBy("nvmax").collect()] == list(range(1, 8))
+    assert 1 <= search.best_size <= 7
+    assert search.coefficients.count() == search.best_size + 1

@@ -287,6 +287,13 @@ def _(t):
     return expected.rusher_over_expected(scored, t.rosters)
 
 
+@register("feed_predicted_actual", "SELECT 1 + 0.3 * ydstogo AS x, yards_gained AS y FROM rush_rows",
+          steps=RUSH_ROWS, reals=["x", "y"])
+def _(t):
+    scored = expected.expected_rush_rows(t.plays, ERAS).withColumn("exp_pred", 1 + 0.3 * F.col("ydstogo"))
+    return expected.feed_predicted_actual(scored)
+
+
 # ---------------------------------------------------------------- models end to end
 
 @register("completion_score")
