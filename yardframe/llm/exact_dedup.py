@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from yardframe.llm.tables import shared_dir, stored, text_of
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; no file space in advance, as there are many small stores.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+               "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normal_text(text: str) -> Column:
@@ -50,14 +52,15 @@ def update_groups(rows: DataFrame, state_dir: str, groups_dir: str, *, key: str
         batch.write.mode("overwrite").parquet(f"{groups_dir}/batch={number}")
 
     spark = rows.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         query = (groups.writeStream.outputMode("update").foreachBatch(write)
                  .option("checkpointLocation", state_dir).trigger(availableNow=True).start())
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     query.awaitTermination()
 
 
