@@ -1,12 +1,12 @@
 """N-gram Jaccard join by vertical partitioning, with connected components.
 
 1. Every text becomes the set of its distinct word shingles (64-bit hashes); equal sets are one node.
-2. Shingles have one global order: by count where they are frequent, then by hash. Two sets of Jaccard t share one of
-   their first n - ceil(t * n) + 1 shingles in any such order, so nodes with a common prefix shingle are candidates.
+2. Shingles have one global order: by count where they are frequent, then by hash. Two sets of Jaccard t share `SHARED`
+   of their first n - ceil(t * n) + SHARED shingles in any such order, so nodes with that many in common are candidates.
    Counts cover all texts; they only order, so a count that stays below the true one costs time, not links.
-3. Candidates of one shingle are not paired with each other: each is paired with two pivots of the shingle first, then,
-   while a shingle's nodes are not one component, with other pivots; last, nodes that are still apart are paired
-   all. A pair is left out only where a chain of confirmed links joins the two already, so components are exact.
+3. Candidates of one shingle are first paired with two pivots of the shingle only. Where its nodes are then not one
+   component, those of different components are paired all. A pair is left out only where a chain of
+   confirmed links joins the two already, so components are exact.
 4. The order of shingle hashes is cut into fragments. For a pair the overlap of each fragment is counted by itself, and
    the counts are summed per pair; pairs that reach the threshold are links.
 5. Labels of linked nodes fall to the least node number in rounds until none changes.
@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from yardframe.llm.tables import stored, text_of
 from yardframe.llm.words import SPACED_LOWER, gram_hashes, mix, pieces, split_words
 
-FREQUENT = 1 << 17  # shingles whose counts are known to all tasks: 2 MB
-FREQUENT_FROM = 16
-SEEN_FROM = 4
+FREQUENT = 1 << 20  # shingles whose counts are known to all tasks: 16 MB
+SEEN_FROM = 2
+SHARED = 3
 FRAGMENTS = 8
-STAR_ROUNDS = 2
+BROADCAST_TEXTS = 1 << 20  # text numbers: 16 MB; beyond, texts are joined by shuffle
 
 
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
@@ -48,7 +48,7 @@ def set_number(s: np.ndarray) -> np.ndarray:
 
 
 def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The FREQUENT most frequent shingles, sorted, and their counts."""
+    """The most frequent shingles, FREQUENT at most, sorted, and their counts. The least count taken is taken whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column("text").to_pylist(), size))
@@ -56,8 +56,13 @@ def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarr
             some = n >= SEEN_FROM
             yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["shingle", "n"])
 
-    counts = texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    counts = stored(texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2"))
+    sizes = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()
+    least, held = 10_000, 0
+    for row in sorted(sizes, key=lambda r: -r["n"]):
+        held += row["count"]
+        least = row["n"] if held <= FREQUENT else least
+    rows = counts.where(F.col("n") >= least).toArrow()
     h, n = rows.column("shingle").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -74,7 +79,8 @@ def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
             for s in shingle_sets(batch.column("text").to_pylist(), size):
                 at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
                 rank = np.where(common[at] == s, counts[at], 0) if len(common) else np.zeros(len(s), np.int64)
-                keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+                must = (percent * len(s) + 99) // 100
+                keep = len(s) - must + min(SHARED, must)
                 first.append(s[np.lexsort((s, rank))[:keep]].view(np.int64))
                 node.append(set_number(s).view(np.int64)[0])
                 n.append(len(s))
@@ -137,51 +143,50 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(value).alias("mark"), value.alias("text"))
     rows = stored(prefixes(texts, size, percent))
     nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("mark").alias("mark"), F.max("n").alias("n"), F.min("key").alias("least_key")))
-    firsts = rows.where("n > 0").join(nodes.select("node", "mark"), ["node", "mark"]).select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    shared = firsts.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    held = stored(firsts.join(shared, "shingle").distinct())
-    wanted = held.select("node").distinct().join(nodes.select("node", "mark"), "node").select(F.col("node").alias("wanted"), "mark")
-    fragments = stored(fragments_of(texts.join(wanted, "mark").select("text", "wanted"), size))
+    firsts = rows.where("n > 0").select("node", "n", F.explode("prefix").alias("shingle"))
+    ends = firsts.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    held = stored(firsts.join(ends, "shingle").distinct())
     sizes = nodes.select("node", "n")
 
     def alike(x, y):
         return (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
+    def must_share(x, y):
+        return F.least(F.lit(SHARED), F.ceil(percent * F.least(x, y) / 100))
+
     def ordered(a, b, n_a, n_b) -> list:
         swap = F.col(a) > F.col(b)
         return [F.when(swap, F.col(b)).otherwise(F.col(a)).alias("a"), F.when(swap, F.col(a)).otherwise(F.col(b)).alias("b"),
                 F.when(swap, F.col(n_b)).otherwise(F.col(n_a)).alias("n_a"), F.when(swap, F.col(n_a)).otherwise(F.col(n_b)).alias("n_b")]
 
+    def links_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = stored(wanted.join(nodes.select("node", "mark"), "node").select(F.col("node").alias("wanted"), "mark"))
+        few = wanted.count() <= BROADCAST_TEXTS
+        found = texts.join(F.broadcast(wanted) if few else wanted, "mark")
+        return confirmed(pairs, stored(fragments_of(found, size)), percent)
+
     # Stars around each shingle's least and greatest node.
-    star = held.select("node", "n", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot").distinct()
-    star = star.join(sizes.withColumnsRenamed({"node": "pivot", "n": "n_pivot"}), "pivot").where(alike(F.col("n"), F.col("n_pivot")))
+    star = held.select("node", "n", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot")
+    star = star.groupBy("node", "n", "pivot").agg(F.count("*").alias("shared"))
+    star = star.join(sizes.withColumnsRenamed({"node": "pivot", "n": "n_pivot"}), "pivot")
+    star = star.where(alike(F.col("n"), F.col("n_pivot")) & (F.col("shared") >= must_share(F.col("n"), F.col("n_pivot"))))
     done = stored(star.select(*ordered("node", "pivot", "n", "n_pivot")).distinct())
-    links = stored(confirmed(done, fragments, percent))
-    for turn in range(STAR_ROUNDS + 1):
-        labels = components(links)
-        placed = held.join(labels, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
-        apart = placed.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-        placed = stored(placed.join(apart.select("shingle"), "shingle", "left_semi"))
-        if turn < STAR_ROUNDS:
-            pick = placed.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")).alias("p"))
-            pairs = placed.join(pick.select("shingle", "p.*").withColumnsRenamed({"node": "pivot", "n": "n_pivot", "component": "c_pivot"}), "shingle")
-            pairs = pairs.where((F.col("component") != F.col("c_pivot")) & alike(F.col("n"), F.col("n_pivot")))
-            pairs = pairs.select(*ordered("node", "pivot", "n", "n_pivot")).distinct()
-        else:
-            other = placed.withColumnsRenamed({"node": "pivot", "n": "n_pivot", "component": "c_pivot", "pos": "p_pivot"})
-            rest = F.least(F.col("pos"), F.col("p_pivot")) + F.least(F.col("n") - F.col("pos"), F.col("n_pivot") - F.col("p_pivot"))
-            enough = (100 + percent) * rest >= percent * (F.col("n") + F.col("n_pivot"))  # positional bound on the overlap
-            pairs = placed.join(other, "shingle").where((F.col("node") < F.col("pivot")) & (F.col("component") != F.col("c_pivot"))
-                                                        & alike(F.col("n"), F.col("n_pivot")) & enough)
-            pairs = pairs.select(*ordered("node", "pivot", "n", "n_pivot")).distinct()
-        pairs = stored(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn == STAR_ROUNDS:
-                break
-            continue
-        found = confirmed(pairs, fragments, percent)
-        links = stored(links.unionByName(found))
-        done = done.unionByName(pairs)
+    links = stored(links_of(done))
+
+    # Nodes that share enough and are still apart are compared all.
+    labels = components(links)
+    placed = held.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    placed = stored(placed.join(apart.select("shingle"), "shingle", "left_semi"))
+    other = placed.withColumnsRenamed({"node": "pivot", "n": "n_pivot", "component": "c_pivot"})
+    pairs = placed.join(other, "shingle").where((F.col("node") < F.col("pivot")) & (F.col("component") != F.col("c_pivot"))
+                                                & alike(F.col("n"), F.col("n_pivot")))
+    pairs = pairs.groupBy("node", "pivot", "n", "n_pivot").agg(F.count("*").alias("shared"))
+    pairs = pairs.where(F.col("shared") >= must_share(F.col("n"), F.col("n_pivot"))).select(*ordered("node", "pivot", "n", "n_pivot"))
+    pairs = stored(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        links = stored(links.unionByName(links_of(pairs)))
     labels = components(links)
     named = nodes.join(labels, "node", "left").select("node", "least_key", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least_key").alias("component_id"))
