@@ -22,12 +22,18 @@ def row_count() -> Column:
 
 
 def without_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows with a value in every listed column.
+    """Rows with a value in every listed column; NaN is no value.
 
     One test per column lets each be pushed to its own side of a join. ``dropna`` makes a single
     test over all columns, whose rewritings grow exponentially in the optimizer.
     """
-    return reduce(lambda rows, name: rows.filter(F.col(name).isNotNull()), dict.fromkeys(columns), df)
+    floating = {name for name, kind in df.dtypes if kind in ("double", "float")}
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.filter(F.col(name).isNotNull())
+        return rows.filter(~F.isnan(name)) if name in floating else rows
+
+    return reduce(kept, dict.fromkeys(columns), df)
 
 
 def if_else(test: Column, yes: Column, no: Column) -> Column:

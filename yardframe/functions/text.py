@@ -35,11 +35,14 @@ def separate(df: DataFrame, name: str, into: Sequence[str], sep: str = "_") -> D
 
 
 def decode_id(c: Column | str) -> Column:
-    """Plain form of a hex-encoded player id of 36 characters; other ids stay as they are."""
+    """Plain form of a hex-encoded player id of 36 characters.
+
+    Other ids stay as they are, also those whose bytes are no hex digits or no text.
+    """
     value = F.col(c) if isinstance(c, str) else c
     digits = F.replace(F.substring(value, 5, 24), F.lit("-"), F.lit(""))
-    plain = F.decode(F.unhex(digits), "utf-8")
-    return F.when(F.length(value) == 36, plain).otherwise(value)
+    plain = F.try_validate_utf8(F.unhex(digits).cast("string"))
+    return F.when(F.length(value) == 36, F.coalesce(plain, value)).otherwise(value)
 
 
 def decode_player_ids(df: DataFrame, columns: Sequence[str] = ID_COLUMNS) -> DataFrame:

@@ -167,6 +167,13 @@ def independent(xtx: np.ndarray, tolerance: float = 1e-10) -> list[int]:
     return kept
 
 
+def centres(df: DataFrame, terms: Sequence[Term]) -> dict[str, float]:
+    """Means of the outcome ``_y`` and of the numeric terms over complete rows."""
+    names = ["_y", *[t.name for t in terms if isinstance(t, Numeric)]]
+    row = df.agg(*[F.avg(F.col(name)).alias(f"m{i}") for i, name in enumerate(names)]).first()
+    return {name: row[f"m{i}"] or 0.0 for i, name in enumerate(names)}
+
+
 def linear_predictor(columns: dict[str, Column], beta: dict[str, float]) -> Column:
     """Sum of coefficient times column; any null column makes it null."""
     total = F.lit(0.0)

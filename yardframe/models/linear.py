@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yardframe.models.design import (
-    Design, Term, complete_cases, cross_products, independent, linear_predictor, plain,
+    Design, Term, centres, complete_cases, cross_products, independent, linear_predictor, plain,
 )
 from yardframe.models.distributions import chi2_tail, f_tail, t_two_sided
 
@@ -83,18 +83,26 @@ def solve_least_squares(products: np.ndarray, names: Sequence[str]
 
 
 def fit_linear(df: DataFrame, outcome: Column, terms: Sequence[Term]) -> LinearFit:
-    """Ordinary least squares over the complete rows, in one pass for the cross-products.
+    """Ordinary least squares over the complete rows: one pass for means, one for cross-products.
 
-    Columns that repeat earlier ones are dropped before the solve and listed in ``dropped``.
+    Cross-products are taken of the numeric columns less their means, so a large offset costs no digits;
+    coefficients and covariance are then carried back to the columns as given. Columns that repeat
+    earlier ones are dropped before the solve and listed in ``dropped``.
     """
     rows = complete_cases(df, outcome, terms)
     design = Design.learn(rows, plain(terms))
     columns = design.columns()
-    products = cross_products(rows, {**columns, "_y": F.col("_y")}).get(0)
+    means = centres(rows, plain(terms))
+    centred = {name: c - F.lit(means.get(name, 0.0)) for name, c in {**columns, "_y": F.col("_y")}.items()}
+    products = cross_products(rows, centred).get(0)
     if products is None:
         raise ValueError("no complete row to fit on")
     names = list(columns)
     kept, beta, inverse, rss = solve_least_squares(products, names)
+    back = np.eye(len(kept))
+    back[0, 1:] = [-means.get(names[i], 0.0) for i in kept[1:]]
+    beta, inverse = back @ beta, back @ inverse @ back.T
+    beta[0] += means["_y"]
     n, sum_y = int(round(products[0, 0])), products[0, -1]
     return LinearFit(
         Design(tuple(terms), design.levels), [names[i] for i in kept],

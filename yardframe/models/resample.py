@@ -35,7 +35,7 @@ def outcome_bin(outcome: Column, cuts: Sequence[float]) -> Column:
     bin_ = F.lit(len(inner))
     for i in reversed(range(len(inner))):
         bin_ = F.when(outcome <= F.lit(float(inner[i])), F.lit(i)).otherwise(bin_)
-    return F.when(outcome.isNotNull(), bin_)
+    return F.when(outcome.isNotNull() & ~F.isnan(outcome.cast("double")), bin_)
 
 
 def stratified_split(df: DataFrame, outcome: str, keys: Sequence[str], share: float = 0.7,
@@ -43,7 +43,7 @@ def stratified_split(df: DataFrame, outcome: str, keys: Sequence[str], share: fl
     """Add ``in_train``: in each quantile bin of ``outcome``, the first ``share`` of the rows by digest.
 
     ``keys`` must identify a row. Bins and cutoffs come from counts, so no bin is ever sorted or
-    held by one task.
+    held by one task. A row whose outcome is null or NaN is in no bin and so not in training.
     """
     digest = row_digest(keys, seed)
     # the searches read only these two columns, several times over
@@ -57,7 +57,7 @@ def stratified_split(df: DataFrame, outcome: str, keys: Sequence[str], share: fl
         cutoffs = hash_cutoffs(binned, "_bin", "_digest", take)
     finally:
         narrow.unpersist()
-    return df.withColumn("in_train", at_most(digest, bin_, cutoffs))
+    return df.withColumn("in_train", F.coalesce(at_most(digest, bin_, cutoffs), F.lit(False)))
 
 
 # ---------------------------------------------------------------- subset selection

@@ -16,8 +16,8 @@ DIGITS = 3
 
 
 def _values(df: DataFrame, column: str) -> tuple[DataFrame, float, float, int]:
-    """The non-null values with their smallest, largest and count."""
-    data = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    """The values with their smallest, largest and count; NaN counts as null, as it equals nothing."""
+    data = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     return data, *data.agg(F.min("v"), F.max("v"), F.count("v")).first()
 
 

@@ -24,14 +24,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def dense_rank_within(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """Descending dense rank of ``value`` in each group.
+    """Descending dense rank of ``value`` in each group; a null value has no rank.
 
     Only the distinct values are ranked. Carries of one season add up to its plays, so n plays
     hold at most about sqrt(2n) distinct counts and the ranked table stays small.
     """
     values = df.select(group, value).distinct()
-    ranks = values.withColumn(
-        name, F.dense_rank().over(W.partitionBy(group).orderBy(F.desc_nulls_last(value))))
+    rank = F.dense_rank().over(W.partitionBy(group).orderBy(F.desc_nulls_last(value)))
+    ranks = values.withColumn(name, F.when(F.col(value).isNotNull(), rank))
     return lookup_join(df, settle(ranks), [group, value], null_safe=True, salt_on=df.columns)
 
 
