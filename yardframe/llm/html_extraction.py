@@ -7,11 +7,13 @@ length, punctuation and link text of all its blocks are summed; a path's ratio i
 raised by punctuation, per block. The ratios are smoothed over neighbouring blocks in page order, fused
 with the path's own ratio, and compared with a share of the page's mean; blocks of paths below the
 threshold go. Blocks inside the element that a page marks as its article or main part are content
-already, so there the threshold only drops paths that are mostly links.
+already, so there the threshold only drops paths that are mostly links. A heading also stays where the block
+behind it does, as a short line has a low ratio.
 
 Each page is read for itself inside Arrow batches: there is no shuffle, and a task holds one batch.
 A null or empty page gives an empty text. Broken markup is read as browsers do: unknown or unclosed tags
-never fail, unfinished references stay as text, text after a cut counts as far as it goes.
+never fail, unfinished references stay as text, text after a cut counts as far as it goes, a tag that the page's end
+cuts is dropped.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ BOILER_NAMES = re.compile(
     r"recommend\w*|share|sharing|social|side|sidebar|widgets?|toolbar|topbar|login|signup|search|skip|toc|copyright|legal|disclaimer)(?:$|[\s_-]|\d)", re.I)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？¿¡]")
+TAG_BEGINS = re.compile(r"<[a-zA-Z/!?]")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 THRESHOLD = 0.25
 SPREAD = 2
 
@@ -114,7 +118,8 @@ class PageReader(HTMLParser):
             self.linked += len(data.strip())
 
     def read(self, page: str) -> list[Block]:
-        self.feed(page)
+        cut = TAG_BEGINS.search(page, page.rfind(">") + 1)
+        self.feed(page[: cut.start()] if cut else page)
         self.close()
         self._end_block()
         return self.blocks
@@ -136,7 +141,11 @@ def choose(blocks: list[Block], threshold: float = THRESHOLD, spread: int = SPRE
     fused = np.sqrt(own * smooth)
     good = (fused >= threshold * fused[path].mean()) & (links <= 0.5 * length)
     article = any(b.article for b in blocks)
-    return [b for b, p in zip(blocks, path, strict=True) if (b.article and links[p] <= 0.8 * length[p] if article else good[p])]
+    keep = [b.article and links[p] <= 0.8 * length[p] if article else good[p] for b, p in zip(blocks, path, strict=True)]
+    for i in range(len(blocks) - 2, -1, -1):
+        if not article and blocks[i].path.rpartition("/")[2] in HEADINGS and links[path[i]] <= 0.5 * length[path[i]]:
+            keep[i] = keep[i] or keep[i + 1]
+    return [b for b, k in zip(blocks, keep, strict=True) if k]
 
 
 def main_text(page: str | None) -> str:
