@@ -4,6 +4,7 @@ from __future__ import annotations
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 _SPACED = _WORDS.format(r"[^\x20\x09-\x0D]+")
+_TERMS = _WORDS.format(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _ALNUM = _WORDS.format(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 CHECKS = {
@@ -38,4 +39,14 @@ WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS p, regexp_replace(coales
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
     doc_id = first_value(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY t ORDER BY p DESC, doc_id)""",
+    "op13_ranked_search": rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT item_id, unnest(list_distinct({_TERMS})) AS t FROM benchmark),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, len(w)::BIGINT AS n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY t, n_docs),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM i JOIN tf USING (t) JOIN w USING (t), totals GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50""",
 }
