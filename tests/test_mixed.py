@@ -84,12 +84,14 @@ def test_distributed_factor_gives_the_same_fit(spark, groups, c):
     near = fit_mixed(df, F.col("y"), TERMS, groups)
     far = fit_mixed(df, F.col("y"), TERMS, groups, local_cells=0)
     assert far.data.large == "g"
-    assert far.deviance == pytest.approx(near.deviance, abs=1e-6)
-    assert far.beta == pytest.approx(near.beta, abs=1e-4)
+    assert near.converged and far.converged
+    assert far.deviance == pytest.approx(near.deviance, abs=1e-8)
+    assert far.beta == pytest.approx(near.beta, abs=1e-6)
+    assert far.theta == pytest.approx(near.theta, abs=1e-6)
     for g in groups:
         a = {r["level"]: r["intercept"] for r in near.group_intercepts(g).collect()}
         b = {r["level"]: r["intercept"] for r in far.group_intercepts(g).collect()}
-        assert b == pytest.approx(a, abs=1e-3)
+        assert b == pytest.approx(a, abs=1e-6)
 
 
 def test_row_order_and_partitions_do_not_matter(spark):
@@ -168,8 +170,39 @@ def test_fixed_ratio_closed_form(spark):
     assert got == pytest.approx({k: beta[0] + v for k, v in effects["g"].items()})
 
 
-def test_minimiser_reaches_the_edge():
-    assert minimise(lambda x: float((x[0] + 1) ** 2 + (x[1] - 2) ** 2), 2) == pytest.approx([0.0, 2.0], abs=1e-5)
+def test_minimiser_follows_a_curved_valley():
+    def valley(x):
+        a, b = x[1] - x[0] ** 2, 1 - x[0]
+        return 100 * a * a + b * b, np.array([-400 * a * x[0] - 2 * b, 200 * a])
+    found = minimise(valley, np.array([-1.2, 1.0]))
+    assert found.converged and found.x == pytest.approx([1.0, 1.0], abs=1e-5)
+    assert not minimise(valley, np.array([-1.2, 1.0]), rounds=3).converged
+
+
+@pytest.mark.parametrize("local_cells", [20_000_000, 0])
+def test_gradient_matches_differences(spark, local_cells):
+    df = spark.createDataFrame(make(n=150, c=5))
+    profile = fit_mixed(df, F.col("y"), TERMS, ["g", "h", "t"], local_cells=local_cells).profile
+    x = np.log([0.3, 0.8, 0.05])
+    _, gradient = profile.with_gradient(x)
+    for i in range(3):
+        e = 1e-5 * np.eye(3)[i]
+        change = (profile.with_gradient(x + e)[0] - profile.with_gradient(x - e)[0]) / 2e-5
+        assert gradient[i] == pytest.approx(change, rel=1e-5, abs=1e-5)
+
+
+def test_offset_predictor_and_outcome(spark):
+    frame = make(n=400)
+    near = fit_mixed(spark.createDataFrame(frame), F.col("y"), TERMS, ["g", "h"])
+    moved = frame.assign(x=1e9 + 1e3 * frame.x, y=frame.y + 1e7)
+    far = fit_mixed(spark.createDataFrame(moved), F.col("y"), TERMS, ["g", "h"])
+    assert far.data.names == near.data.names
+    assert far.beta[1] * 1e3 == pytest.approx(near.beta[1], rel=1e-6)
+    assert far.theta == pytest.approx(near.theta, rel=1e-5)
+    table = {r["term"]: r for r in far.summary().collect()}
+    plain = {r["term"]: r for r in near.summary().collect()}
+    assert table["x"]["t_value"] == pytest.approx(plain["x"]["t_value"], rel=1e-5)
+    assert far.converged and far.rounds < 60
 
 
 def test_no_usable_row_is_an_error(spark):

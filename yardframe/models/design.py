@@ -1,6 +1,8 @@
 """Design columns of a model and their cross-products.
 
-Spark turns the rows into cross-products; only the small square matrix comes to the driver.
+Rows carry a factor as its value. Tasks look the values of a batch up in the level dictionary and
+expand them there, so no expression has a branch per level. A factor with more than ``WIDE`` levels
+can stay a distributed table; least squares then absorbs it (``models/linear.py``).
 """
 
 from __future__ import annotations
@@ -10,12 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yardframe.functions.nulls import without_nulls
+from yardframe.operators.joins import settle
 
-MAX_LEVELS = 500
+WIDE = 1000  # levels of one factor that the driver and the tasks hold
 
 
 @dataclass(frozen=True)
@@ -54,34 +59,85 @@ def _level_order(values: Sequence[str], ref: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Design:
-    """Terms with their levels, and the numeric columns they expand to."""
+    """Terms with their levels, and the numeric columns they expand to.
+
+    ``wide`` names the factor, if any, whose levels are not listed.
+    """
     terms: tuple[Term, ...]
     levels: dict[str, list[str]]
+    wide: Factor | None = None
 
     @staticmethod
-    def learn(df: DataFrame, terms: Sequence[Term]) -> Design:
-        """Find the levels of all factors in one pass over their distinct combinations."""
+    def learn(df: DataFrame, terms: Sequence[Term], absorb: bool = False) -> Design:
+        """Find the levels of all factors in one pass over their distinct combinations.
+
+        With ``absorb`` the factor with most levels stays out of the dictionary if it has more than WIDE.
+        """
         factors = [t for t in terms if isinstance(t, Factor)]
-        levels: dict[str, list[str]] = {t.name: [] for t in factors}
-        if factors:
-            cells = df.select(*[t.column().alias(t.name) for t in factors]).distinct()
-            pairs = F.explode(F.array(*[F.struct(F.lit(t.name).alias("name"), F.col(t.name).alias("level"))
-                                        for t in factors]))
-            bound = MAX_LEVELS * len(factors)
-            found = (cells.select(pairs.alias("p")).select("p.name", "p.level").distinct()
-                          .filter(F.col("level").isNotNull()).limit(bound + 1).collect())
-            if len(found) > bound:
-                raise ValueError(f"factors with more than {MAX_LEVELS} levels belong among the group factors")
-            for name, level in found:
-                levels[name].append(level)
-            for t in factors:
+        if not factors:
+            return Design(tuple(terms), {})
+        cells = df.select(*[t.column().alias(t.name) for t in factors]).distinct()
+        pairs = F.explode(F.array(*[F.struct(F.lit(t.name).alias("name"), F.col(t.name).alias("level"))
+                                    for t in factors]))
+        found = (cells.select(pairs.alias("p")).select("p.name", "p.level").distinct()
+                      .filter(F.col("level").isNotNull()))
+        wide = None
+        if absorb:
+            known = found.limit(WIDE + 1).collect()
+            if len(known) > WIDE:
+                found = settle(found)
+                counts = dict(found.groupBy("name").count().collect())
+                most = max(factors, key=lambda t: counts.get(t.name, 0))
+                wide = most if counts[most.name] > WIDE else None
+                known = (found if wide is None else found.filter(F.col("name") != wide.name)).collect()
+        else:
+            known = found.collect()
+        levels: dict[str, list[str]] = {t.name: [] for t in factors if t is not wide}
+        for name, level in known:
+            levels[name].append(level)
+        for t in factors:
+            if t is not wide:
                 levels[t.name] = _level_order(levels[t.name], t.ref)
-        return Design(tuple(terms), levels)
+        return Design(tuple(terms), levels, wide)
+
+    @property
+    def listed(self) -> list[Term]:
+        return [t for t in self.terms if self.wide is None or t.name != self.wide.name]
+
+    def names(self) -> list[str]:
+        """Design columns without the intercept."""
+        return [name for columns in self.term_columns().values() for name in columns]
+
+    def inputs(self) -> list[Column]:
+        """What a task needs of a row to make its design columns."""
+        return [t.column().alias(f"_t{i}") for i, t in enumerate(self.listed)]
+
+    def expander(self) -> Callable[[pa.RecordBatch], np.ndarray]:
+        """Function from a batch with the ``inputs`` to its design columns without the intercept."""
+        parts = [(f"_t{i}", None if isinstance(t, Numeric) else pa.array(self.levels[t.name], pa.string()))
+                 for i, t in enumerate(self.listed)]
+        width = len(self.names())
+
+        def expand(batch: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros((len(batch), width))
+            at = 0
+            for name, levels in parts:
+                column = batch.column(name)
+                if levels is None:
+                    out[:, at] = column.to_numpy(zero_copy_only=False)
+                    at += 1
+                    continue
+                code = pc.index_in(column, value_set=levels).to_numpy(zero_copy_only=False).astype(np.int64)
+                rows = np.flatnonzero(code > 0)
+                out[rows, at + code[rows] - 1] = 1.0
+                at += max(len(levels) - 1, 0)
+            return out
+        return expand
 
     def columns(self) -> dict[str, Column]:
         """Name and expression of each design column, intercept first; a null input stays null."""
         made = {"(Intercept)": F.lit(1.0)}
-        for term in self.terms:
+        for term in self.listed:
             if isinstance(term, Numeric):
                 made[term.name] = term.column()
                 continue
@@ -96,10 +152,10 @@ class Design:
         """Design column names by term."""
         return {t.name: [t.name] if isinstance(t, Numeric)
                 else [f"{t.name}{level}" for level in self.levels[t.name][1:]]
-                for t in self.terms}
+                for t in self.listed}
 
     def without(self, name: str) -> Design:
-        return Design(tuple(t for t in self.terms if t.name != name), self.levels)
+        return Design(tuple(t for t in self.terms if t.name != name), self.levels, self.wide)
 
 
 def complete_cases(df: DataFrame, outcome: Column, terms: Sequence[Term],
@@ -167,13 +223,6 @@ def independent(xtx: np.ndarray, tolerance: float = 1e-10) -> list[int]:
     return kept
 
 
-def centres(df: DataFrame, terms: Sequence[Term]) -> dict[str, float]:
-    """Means of the outcome ``_y`` and of the numeric terms over complete rows."""
-    names = ["_y", *[t.name for t in terms if isinstance(t, Numeric)]]
-    row = df.agg(*[F.avg(F.col(name)).alias(f"m{i}") for i, name in enumerate(names)]).first()
-    return {name: row[f"m{i}"] or 0.0 for i, name in enumerate(names)}
-
-
 def linear_predictor(columns: dict[str, Column], beta: dict[str, float]) -> Column:
     """Sum of coefficient times column; any null column makes it null."""
     total = F.lit(0.0)

@@ -15,6 +15,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -23,14 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yardframe.functions.nulls import without_nulls
-from yardframe.models.design import (
-    Design, Term, complete_cases, cross_products, independent, plain,
-)
+from yardframe.models.design import Design, Term, complete_cases, plain
 from yardframe.models.distributions import chi2_tail, f_tail, t_two_sided
+from yardframe.models.moments import column_moments
 from yardframe.operators.joins import settle
 
-LOCAL_CELLS = 20_000_000
-SYSTEM_WIDTH = 4_000
+LOCAL_CELLS = 20_000_000  # numbers of the eliminated factor's table that the driver holds
 
 
 # ---------------------------------------------------------------- cross-products
@@ -57,11 +57,15 @@ def pair_table(cells: DataFrame, first: str, second: str) -> DataFrame:
 
 @dataclass
 class MixedData:
-    """Cross-products of one model frame, enough for every smaller model on the same rows."""
+    """Cross-products of one model frame, enough for every smaller model on the same rows.
+
+    All columns but the intercept are less their means, which ``centre`` holds (the outcome's last).
+    """
     spark: SparkSession
     design: Design
     names: list[str]
     rows: int
+    centre: np.ndarray
     products: np.ndarray                                  # [X y]'[X y]
     levels: dict[str, list[str]]                          # factors held on the driver
     sums: dict[str, np.ndarray]                           # level by [1 X y] column sums
@@ -92,57 +96,64 @@ class MixedData:
                 names = [name for name in names if name not in gone]
         keep = [self.names.index(name) for name in names] + [len(self.names)]
         return MixedData(
-            self.spark, design, names, self.rows, self.products[np.ix_(keep, keep)],
+            self.spark, design, names, self.rows, self.centre[keep], self.products[np.ix_(keep, keep)],
             {f: lv for f, lv in self.levels.items() if f in factors},
             {f: s[:, [0, *[k + 1 for k in keep]]] for f, s in self.sums.items() if f in factors},
             {p: m for p, m in self.pairs.items() if p[0] in factors and p[1] in factors},
             self.cells, self.cell_names, self.large if self.large in factors else None)
 
+    def as_given(self) -> np.ndarray:
+        """Coefficients of the columns as given from those of the centred columns, without the outcome's mean."""
+        back = np.eye(len(self.names))
+        back[0, 1:] = -self.centre[1:-1]
+        return back
+
 
 def gather(df: DataFrame, outcome: Column, terms: Sequence[Term], groups: Sequence[str],
            local_cells: int = LOCAL_CELLS) -> MixedData:
-    """Reduce the complete rows to cross-products. The rows are read once and kept meanwhile."""
+    """Reduce the complete rows to cross-products: one pass for means and R, one for the cells."""
     spark = df.sparkSession
     rows = complete_cases(df, outcome, terms, groups).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         design = Design.learn(rows, plain(terms))
-        columns = {**design.columns(), "_y": F.col("_y")}
-        products = cross_products(rows, columns).get(0)
-        if products is None:
+        expand, all_names = design.expander(), design.names()
+        moments = column_moments(rows.select(*design.inputs(), "_y"), lambda batch: np.column_stack(
+            [expand(batch), batch.column("_y").to_numpy()])).get(0)
+        if moments is None:
             raise ValueError("no complete row to fit on")
-        names = list(columns)[:-1]
-        kept = independent(products[:-1, :-1])
-        places = [*kept, len(names)]
-        products = products[np.ix_(places, places)]
-        names = [names[i] for i in kept]
-        used = {name: columns[name] for name in [*names, "_y"]}
+        kept = moments.independent(range(len(all_names)))
+        moments = moments.take([*kept, len(all_names)])
+        names = ["(Intercept)", *[all_names[i] for i in kept]]
+        centre = np.concatenate([[0.0], moments.means])
+        columns = {**design.columns(), "_y": F.col("_y")}
+        used = {name: columns[name] - F.lit(float(c)) for name, c in zip([*names, "_y"], centre)}
         cells = settle(level_cells(rows, groups, used))
     finally:
         rows.unpersist()
     width = len(used)
+    products = np.zeros((width, width))
+    products[0, 0] = moments.n
+    products[1:, 1:] = moments.products()
     counts = cells.agg(*[F.count_distinct(g).alias(g) for g in groups]).first().asDict()
     by_size = sorted(groups, key=lambda g: -counts[g])
     rest = sum(counts[g] for g in by_size[1:])
-    if rest + width > SYSTEM_WIDTH:
-        raise ValueError("only one group factor may have more than a few thousand levels")
     large = by_size[0] if counts[by_size[0]] * (rest + width) > local_cells else None
-    levels, sums, pairs = {}, {}, {}
-    for g in by_size:
-        if g == large:
-            continue
-        table = sorted(factor_table(cells, g, width).collect(), key=lambda r: str(r["level"]))
-        levels[g] = [r["level"] for r in table]
-        sums[g] = np.array([list(r)[1:] for r in table], dtype=float)
     held = [g for g in by_size if g != large]
+    levels, sums, pairs = {}, {}, {}
+    for g in held:
+        table = factor_table(cells, g, width).withColumn("level", F.col("level").cast("string")).toArrow().sort_by("level")
+        levels[g] = table.column("level").to_pylist()
+        sums[g] = np.column_stack([c.to_numpy().astype(float) for c in table.columns[1:]])
+    places = {g: pa.array(levels[g], pa.string()) for g in held}
     for i, a in enumerate(held):
         for b in held[i + 1:]:
-            place_a = {v: k for k, v in enumerate(levels[a])}
-            place_b = {v: k for k, v in enumerate(levels[b])}
-            matrix = np.zeros((len(place_a), len(place_b)))
-            for la, lb, n in pair_table(cells, a, b).collect():
-                matrix[place_a[la], place_b[lb]] = n
+            table = pair_table(cells, a, b).select(
+                F.col("level_a").cast("string"), F.col("level_b").cast("string"), "n").toArrow().combine_chunks()
+            at = [pc.index_in(table.column(c), value_set=places[g]).to_numpy() for c, g in (("level_a", a), ("level_b", b))]
+            matrix = np.zeros((len(levels[a]), len(levels[b])))
+            matrix[at[0], at[1]] = table.column("n").to_numpy()
             pairs[a, b] = matrix
-    return MixedData(spark, design, names, int(round(products[0, 0])), products, levels, sums,
+    return MixedData(spark, design, names, int(round(moments.n)), centre, products, levels, sums,
                      pairs, cells, list(used), large)
 
 
@@ -151,9 +162,12 @@ def gather(df: DataFrame, outcome: Column, terms: Sequence[Term], groups: Sequen
 
 @dataclass
 class _Block:
-    """The eliminated factor's part: log-determinant and Schur term for a given theta."""
+    """The eliminated factor's part for a given theta, with tau = theta^2 and n the rows of a level:
+    sum of log(1 + tau n), sum of n / (1 + tau n), the Schur term and its derivative in tau."""
     log_det: Callable[[float], float]
+    trace: Callable[[float], float]
     schur: Callable[[float], np.ndarray]
+    slope: Callable[[float], np.ndarray]
 
 
 class _Profile:
@@ -215,6 +229,32 @@ class _Profile:
     def deviance(self, theta: Sequence[float]) -> float:
         return self.solve(theta)["deviance"]
 
+    def with_gradient(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Deviance and its gradient where ``x`` is the logarithm of each variance ratio theta^2."""
+        theta = np.exp(0.5 * x)
+        solved = self.solve(theta)
+        q, p, free, rss = self.q, self.p, self.data.rows - self.p, solved["rss"]
+        _, m = self._reduced(float(theta[0]))
+        scale = np.concatenate([np.full(w, t) for w, t in zip(self.widths, theta[1:])]) if q else np.zeros(0)
+        c_pp = np.linalg.inv(solved["xx"])
+        c_qq, c_qp = np.zeros((0, 0)), np.zeros((0, p))
+        if q:
+            inverse = np.linalg.inv(scale[:, None] * m[:q, :q] * scale + np.eye(q))
+            k = inverse @ (scale[:, None] * m[:q, q:q + p])
+            c_qq, c_qp = inverse + k @ c_pp @ k.T, -k @ c_pp
+        gradient = np.zeros(len(theta))
+        u = solved["effects"] / scale if q else np.zeros(0)
+        for i, part in enumerate(self.slices):
+            gradient[i + 1] = (self.widths[i] - float(np.trace(c_qq[part, part]))
+                               - free * float(u[part] @ u[part]) / rss)
+        slope = self.block.slope(float(theta[0]))
+        traced = (float((c_qq * (scale[:, None] * slope[:q, :q] * scale)).sum())
+                  + 2.0 * float((c_qp * (scale[:, None] * slope[:q, q:q + p])).sum())
+                  + float((c_pp * slope[q:q + p, q:q + p]).sum()))
+        v = np.concatenate([-solved["effects"], -solved["beta"], [1.0]])
+        gradient[0] = float(theta[0]) ** 2 * (self.block.trace(float(theta[0])) - traced - free * float(v @ slope @ v) / rss)
+        return solved["deviance"], gradient
+
     def free_deviance(self, theta: Sequence[float], sigma: float) -> float:
         """Deviance with the residual standard deviation as a parameter of its own."""
         s = self.solve(theta)
@@ -224,13 +264,16 @@ class _Profile:
 
 
 def _local_block(counts: np.ndarray, table: np.ndarray) -> _Block:
-    def schur(theta: float) -> np.ndarray:
-        weight = theta ** 2 / (1.0 + theta ** 2 * counts)
+    def gram(weight: np.ndarray) -> np.ndarray:
         return (table * weight[:, None]).T @ table
-    return _Block(lambda theta: float(np.log1p(theta ** 2 * counts).sum()), schur)
+    return _Block(
+        lambda theta: float(np.log1p(theta ** 2 * counts).sum()),
+        lambda theta: float((counts / (1.0 + theta ** 2 * counts)).sum()),
+        lambda theta: gram(theta ** 2 / (1.0 + theta ** 2 * counts)),
+        lambda theta: gram((1.0 + theta ** 2 * counts) ** -2.0))
 
 
-_NO_BLOCK = _Block(lambda theta: 0.0, lambda theta: 0.0)
+_NO_BLOCK = _Block(*[lambda theta: 0.0] * 4)
 
 
 def _padded(counts: str, length: int) -> Column:
@@ -250,7 +293,6 @@ def _level_rows(data: MixedData, others: Sequence[str]) -> DataFrame:
         F.sum("n").cast("double").alias("n"), *[F.sum(s).alias(s) for s in used])
     arrays = []
     for k, g in enumerate(others):
-        # the index holds at most SYSTEM_WIDTH rows
         index = data.spark.createDataFrame(list(enumerate(data.levels[g])), ["place", g])
         entries = (cells.select(F.col(data.large).alias("level"), g, "n")
                         .join(F.broadcast(index), g)
@@ -263,92 +305,94 @@ def _level_rows(data: MixedData, others: Sequence[str]) -> DataFrame:
 
 
 def _spread_block(rows: DataFrame) -> _Block:
-    """Schur term of a distributed factor: the Gram matrix of its weighted level rows."""
-    def log_det(theta: float) -> float:
-        return float(rows.agg(F.sum(F.log1p(F.lit(theta ** 2) * F.col("n")))).first()[0])
+    """A distributed factor: its Schur term is the Gram matrix of its weighted level rows."""
+    def grown(theta: float) -> Column:
+        return 1.0 + F.lit(theta ** 2) * F.col("n")
+
+    def total(value: Column) -> float:
+        return float(rows.agg(F.sum(value)).first()[0])
 
-    def schur(theta: float) -> np.ndarray:
-        root = F.sqrt(F.lit(theta ** 2) / (1.0 + F.lit(theta ** 2) * F.col("n")))
+    def gram(root: Column) -> np.ndarray:
         vectors = rows.select(array_to_vector(F.transform("w", lambda v: v * root)).alias("v"))
         old = MLUtils.convertVectorColumnsFromML(vectors, "v")
         return RowMatrix(old).computeGramianMatrix().toArray()
-    return _Block(log_det, schur)
+    return _Block(
+        lambda theta: total(F.log1p(F.lit(theta ** 2) * F.col("n"))),
+        lambda theta: total(F.col("n") / grown(theta)),
+        lambda theta: gram(F.sqrt(F.lit(theta ** 2) / grown(theta))),
+        lambda theta: gram(1.0 / grown(theta)))
 
 
 # ---------------------------------------------------------------- minimisation
 
+ROUNDS = 200
+_LOWEST, _HIGHEST = -40.0, 40.0
 
-def _simplex(f: Callable[[np.ndarray], float], start: np.ndarray, size: float,
-             rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Nelder-Mead search over non-negative points."""
-    dim = len(start)
-    points = [start] + [start + size * np.eye(dim)[i] for i in range(dim)]
-    scored = [(f(x), x) for x in points]
-    for _ in range(rounds):
-        scored.sort(key=lambda s: s[0])
-        spread = max(np.abs(x - scored[0][1]).max() for _, x in scored)
-        if scored[-1][0] - scored[0][0] < 1e-11 and spread < 1e-7:
-            break
-        centre = np.mean([x for _, x in scored[:-1]], axis=0)
-        worst_value, worst = scored[-1]
-
-        def step(k: float) -> tuple[float, np.ndarray]:
-            x = np.maximum(centre + k * (worst - centre), 0.0)
-            return f(x), x
-
-        mirrored = step(-1.0)
-        if mirrored[0] < scored[0][0]:
-            scored[-1] = min(mirrored, step(-2.0), key=lambda s: s[0])
-        elif mirrored[0] < scored[-2][0]:
-            scored[-1] = mirrored
-        else:
-            inside = step(0.5) if mirrored[0] >= worst_value else step(-0.5)
-            if inside[0] < min(worst_value, mirrored[0]):
-                scored[-1] = inside
-            else:
-                best = scored[0][1]
-                scored = [scored[0]] + [(f(y), y) for y in (best + 0.5 * (x - best) for _, x in scored[1:])]
-    scored.sort(key=lambda s: s[0])
-    return scored[0][1], scored[0][0]
-
-
-def minimise(f: Callable[[np.ndarray], float], dim: int) -> np.ndarray:
-    """Smallest value over theta >= 0, with restarts and a look at each boundary."""
-    if dim == 0:
-        return np.zeros(0)
-    x, value = _simplex(f, np.full(dim, 0.5), 0.5)
-    for size in (0.25, 0.05):
-        again, better = _simplex(f, x, size)
-        if better <= value:
-            x, value = again, better
-    for k in range(dim):
-        edge = x.copy()
-        edge[k] = 0.0
-        if x[k] > 0.0 and f(edge) <= value + 1e-9:
-            x, value = edge, f(edge)
-    return x
-
-
-def _golden(f: Callable[[float], float], rounds: int = 30) -> float:
-    """Minimum of a one-hump function over [0, inf), for costly evaluations."""
-    high = 0.5
-    while f(high) < f(high / 2.0) and high < 1e3:
-        high *= 2.0
-    shrink = (math.sqrt(5.0) - 1.0) / 2.0
-    low = 0.0
-    a, b = high - shrink * (high - low), low + shrink * (high - low)
-    fa, fb = f(a), f(b)
-    for _ in range(rounds):
-        if fa < fb:
-            high, b, fb = b, a, fa
-            a = high - shrink * (high - low)
-            fa = f(a)
-        else:
-            low, a, fa = a, b, fb
-            b = low + shrink * (high - low)
-            fb = f(b)
-    best = min((fa, a), (fb, b), (f(0.0), 0.0))
-    return best[1]
+
+@dataclass(frozen=True)
+class Minimum:
+    """Where a search ended."""
+    x: np.ndarray
+    value: float
+    converged: bool
+    rounds: int
+
+
+def _bounded_step(hessian: np.ndarray, gradient: np.ndarray, radius: float) -> np.ndarray:
+    """Minimum of the quadratic model within the radius."""
+    sizes, vectors = np.linalg.eigh(hessian)
+    g = vectors.T @ gradient
+
+    def at(shift: float) -> np.ndarray:
+        return -g / (sizes + shift)
+
+    low = max(0.0, -sizes[0]) + 1e-12 * max(1.0, abs(sizes[-1]))
+    step = at(low if sizes[0] <= 0 else 0.0)
+    if np.linalg.norm(step) > radius or sizes[0] <= 0:
+        high = max(low, 1e-12)
+        while np.linalg.norm(at(high)) > radius:
+            high *= 4.0
+        for _ in range(200):
+            middle = 0.5 * (low + high)
+            low, high = (middle, high) if np.linalg.norm(at(middle)) > radius else (low, middle)
+        step = at(high)
+    return vectors @ step
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray,
+             tolerance: float = 1e-7, rounds: int = ROUNDS) -> Minimum:
+    """Trust-region search with symmetric rank-one updates; ``f`` gives value and gradient.
+
+    Near the minimum, where values differ by rounding only, a step counts when it lowers the gradient.
+    """
+    x = np.asarray(start, dtype=float)
+    value, gradient = f(x)
+    hessian, radius = np.eye(len(x)) * max(1.0, float(np.abs(gradient).max(initial=0.0))), 1.0
+    for done in range(rounds):
+        size = float(np.abs(gradient).max(initial=0.0))
+        if size <= tolerance:
+            return Minimum(x, value, True, done)
+        moved = np.clip(x + _bounded_step(hessian, gradient, radius), _LOWEST, _HIGHEST)
+        step = moved - x
+        if np.linalg.norm(step) < 1e-12:
+            return Minimum(x, value, True, done)
+        new_value, new_gradient = f(moved)
+        expected = -float(gradient @ step + 0.5 * step @ hessian @ step)
+        noise = 1e-12 * max(1.0, abs(value))
+        good = (value - new_value) / expected if expected > 0 else -1.0
+        if abs(value - new_value) <= 10 * noise:
+            good = 1.0 if float(np.abs(new_gradient).max()) < size else -1.0
+        miss = new_gradient - gradient - hessian @ step
+        along = float(miss @ step)
+        if abs(along) > 1e-8 * np.linalg.norm(miss) * np.linalg.norm(step):
+            hessian = hessian + np.outer(miss, miss) / along
+        if good > 0.75 and np.linalg.norm(step) > 0.8 * radius:
+            radius = min(2.0 * radius, 8.0)
+        elif good < 0.1:
+            radius = 0.25 * float(np.linalg.norm(step))
+        if good > 1e-4:
+            x, value, gradient = moved, new_value, new_gradient
+    return Minimum(x, value, False, rounds)
 
 
 # ---------------------------------------------------------------- fit and tables
@@ -366,6 +410,8 @@ class MixedFit:
     effects: dict[str, np.ndarray] = field(repr=False)
     profile: _Profile = field(repr=False)
     level_rows: DataFrame | None = field(default=None, repr=False)
+    converged: bool = True
+    rounds: int = 0
 
     @property
     def log_likelihood(self) -> float:
@@ -375,6 +421,11 @@ class MixedFit:
     def parameters(self) -> int:
         return len(self.beta) + len(self.theta) + 1
 
+    def status(self) -> DataFrame:
+        """Deviance, whether the search converged, and its rounds."""
+        return self.data.spark.createDataFrame([(float(self.deviance), self.converged, self.rounds)],
+                                               "deviance double, converged boolean, rounds int")
+
     def group_intercepts(self, factor: str) -> DataFrame:
         """Fixed intercept plus random effect of every level: ``level``, ``intercept``, ``factor``."""
         base = float(self.beta[0])
@@ -382,7 +433,8 @@ class MixedFit:
             rows = [(level, base + float(b), factor)
                     for level, b in zip(self.data.levels[factor], self.effects[factor])]
             return self.data.spark.createDataFrame(rows, "level string, intercept double, factor string")
-        others = np.concatenate([*[self.effects[g] for g in self.profile.others], self.beta])
+        centred = np.concatenate([[base - self.data.centre[-1] + self.data.centre[1:-1] @ self.beta[1:]], self.beta[1:]])
+        others = np.concatenate([*[self.effects[g] for g in self.profile.others], centred])
         weights = F.array(*[F.lit(float(v)) for v in [*-others, 1.0]])
         rest = F.aggregate(F.zip_with("w", weights, lambda w, k: w * k), F.lit(0.0), lambda a, v: a + v)
         square = F.lit(self.theta[factor] ** 2)
@@ -418,23 +470,22 @@ def fit_gathered(data: MixedData) -> MixedFit:
         first = data.large
         level_rows = settle(_level_rows(data, others))
         profile = _Profile(data, first, others, _spread_block(level_rows))
-        inner: dict[float, tuple[float, np.ndarray]] = {}
-
-        def outer(theta1: float) -> float:
-            if theta1 not in inner:
-                rest = minimise(lambda x: profile.deviance([theta1, *x]), len(others))
-                inner[theta1] = (profile.deviance([theta1, *rest]), rest)
-            return inner[theta1][0]
-
-        best = _golden(outer)
-        theta = np.array([best, *inner[best][1]])
     elif others:
         first, others = others[0], others[1:]
         table = np.hstack([*[data.pair(first, g) for g in others], data.sums[first][:, 1:]])
         profile = _Profile(data, first, others, _local_block(data.sums[first][:, 0], table))
-        theta = minimise(profile.deviance, 1 + len(others))
     else:
-        first, profile, theta = None, _Profile(data, "", [], _NO_BLOCK), np.zeros(1)
+        first, profile = None, _Profile(data, "", [], _NO_BLOCK)
+    theta, found = np.zeros(1), Minimum(np.zeros(0), 0.0, True, 0)
+    if first:
+        found = minimise(profile.with_gradient, np.full(1 + len(others), math.log(0.25)))
+        theta, value = np.exp(0.5 * found.x), found.value
+        for k in range(len(theta)):  # a variance that is as good at zero is zero
+            edge = theta.copy()
+            edge[k] = 0.0
+            at_edge = profile.deviance(edge)
+            if at_edge <= value + 1e-9 * max(1.0, 1e-4 * abs(value)):
+                theta, value = edge, at_edge
     solved = profile.solve(theta)
     sigma2 = solved["rss"] / (data.rows - profile.p)
     effects = {g: solved["effects"][s] for g, s in zip(others, profile.slices)}
@@ -444,8 +495,12 @@ def fit_gathered(data: MixedData) -> MixedFit:
             rest = rest - data.pair(first, g) @ effects[g]
         effects[first] = theta[0] ** 2 / (1.0 + theta[0] ** 2 * data.sums[first][:, 0]) * rest
     names = [first, *others] if first else []
-    return MixedFit(data, {g: float(t) for g, t in zip(names, theta)}, solved["beta"], sigma2,
-                    solved["deviance"], sigma2 * np.linalg.inv(solved["xx"]), effects, profile, level_rows)
+    back = data.as_given()
+    beta = back @ solved["beta"]
+    beta[0] += data.centre[-1]
+    return MixedFit(data, {g: float(t) for g, t in zip(names, theta)}, beta, sigma2, solved["deviance"],
+                    sigma2 * back @ np.linalg.inv(solved["xx"]) @ back.T, effects, profile, level_rows,
+                    found.converged, found.rounds)
 
 
 def fit_mixed(df: DataFrame, outcome: Column, terms: Sequence[Term], groups: Sequence[str],
@@ -496,7 +551,8 @@ class _Satterthwaite:
         return self.profile.free_deviance(self._full(point), point[-1])
 
     def _beta_covariance(self, point: np.ndarray) -> np.ndarray:
-        return point[-1] ** 2 * np.linalg.inv(self.profile.solve(self._full(point))["xx"])
+        back = self.fit.data.as_given()
+        return point[-1] ** 2 * back @ np.linalg.inv(self.profile.solve(self._full(point))["xx"]) @ back.T
 
     def degrees(self, contrast: np.ndarray) -> float:
         variance = contrast @ self.fit.covariance @ contrast

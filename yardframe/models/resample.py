@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardframe.models.design import (
-    Design, Term, complete_cases, cross_products, independent, plain,
-)
+from yardframe.models.design import Design, Term, complete_cases, plain
+from yardframe.models.moments import Moments, column_moments, merged, solve_centred
 from yardframe.operators.cutpoints import at_most, hash_cutoffs, quantiles
 
 
@@ -63,24 +63,20 @@ def stratified_split(df: DataFrame, outcome: str, keys: Sequence[str], share: fl
 # ---------------------------------------------------------------- subset selection
 
 
-def backward_path(products: np.ndarray, largest: int) -> dict[int, tuple[list[int], np.ndarray]]:
-    """Backward elimination on [X y]'[X y]: size -> (column positions, coefficients).
+def backward_path(m: Moments, outcome: int, largest: int) -> dict[int, tuple[list[int], np.ndarray]]:
+    """Backward elimination of design columns: size -> (column positions, slopes).
 
-    The intercept, column 0, always stays and does not count towards the size.
+    Each step drops the column whose removal raises the residual sum of squares least.
     """
-    xtx, xty = products[:-1, :-1], products[:-1, -1]
-    active = independent(xtx)
+    active = m.independent(range(outcome))
     path = {}
     while True:
-        inverse = np.linalg.inv(xtx[np.ix_(active, active)])
-        beta = inverse @ xty[active]
-        size = len(active) - 1
-        if size <= largest:
-            path[size] = (list(active), beta)
-        if size == 0:
+        beta, inverse, _ = solve_centred(m, active, outcome)
+        if len(active) <= largest:
+            path[len(active)] = (list(active), beta)
+        if not active:
             return path
-        cost = beta ** 2 / np.diag(inverse)
-        active.pop(1 + int(np.argmin(cost[1:])))
+        active.pop(int(np.argmin(beta ** 2 / np.diag(inverse))))
 
 
 @dataclass(frozen=True)
@@ -98,80 +94,88 @@ def cv_backward_subset(df: DataFrame, outcome: Column, terms: Sequence[Term],
                        folds: int = 10, seed: int = 123) -> SubsetSearch:
     """Cross-validated backward selection of design columns.
 
-    One pass gives each fold's cross-products; a training set is the total less its fold, and the
-    held-out squared errors follow from the fold's own matrix. Only the absolute errors need a
-    second pass.
+    One pass gives each fold's means and R; a training set merges those of the other folds, and the
+    held-out squared errors follow from the fold's own. Only the absolute errors need a second pass.
     """
     spark: SparkSession = df.sparkSession
     rows = complete_cases(df, outcome, terms, keep=keys).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         design = Design.learn(rows, plain(terms))
-        columns = {**design.columns(), "_y": F.col("_y")}
-        names = list(columns)[:-1]
-        fold = fold_of(keys, seed, folds)
-        by_fold = cross_products(rows, columns, by=fold)
-        total = sum(by_fold.values())
-        sizes = [k for k in sizes if k <= len(independent(total[:-1, :-1])) - 1]
-        paths = {f: backward_path(total - by_fold[f], max(sizes)) for f in by_fold}
-        weights = np.zeros((folds, len(names), len(sizes)))
-        for f, path in paths.items():
+        expand, names = design.expander(), design.names()
+        width = len(names)
+        ready = rows.select(*design.inputs(), "_y", fold_of(keys, seed, folds).alias("_fold"))
+
+        def matrix(batch: pa.RecordBatch) -> np.ndarray:
+            return np.column_stack([expand(batch), batch.column("_y").to_numpy()])
+
+        by_fold = column_moments(ready, matrix, by=F.col("_fold"))
+        if not by_fold:
+            raise ValueError("no complete row to fit on")
+        total = merged(by_fold.values())
+        sizes = [k for k in sizes if k <= len(total.independent(range(width)))]
+        slopes = np.zeros((folds, width, len(sizes)))
+        centre = np.zeros((folds, width + 1))
+        for f in by_fold:
+            others = [m for g, m in by_fold.items() if g != f]
+            training = merged(others) if others else total
+            centre[f] = training.means
+            path = backward_path(training, width, max(sizes, default=0))
             for k, size in enumerate(sizes):
                 positions, beta = path[min(size, max(path))]
-                weights[f, positions, k] = beta
-        absolute = _absolute_errors(rows, columns, fold, weights)
+                slopes[f, positions, k] = beta
+        absolute = _absolute_errors(ready, matrix, centre, slopes)
     finally:
         rows.unpersist()
     fold_rows = []
     for f, held in sorted(by_fold.items()):
-        n, sum_y, yty = held[0, 0], held[0, -1], held[-1, -1]
+        offset = held.means - centre[f]
         for k, size in enumerate(sizes):
-            b = weights[f, :, k]
-            xtx, xty = held[:-1, :-1], held[:-1, -1]
-            mse = (yty - 2 * b @ xty + b @ xtx @ b) / n
-            sum_p = held[0, :-1] @ b
-            cov = b @ xty - sum_p * sum_y / n
-            var_p, var_y = b @ xtx @ b - sum_p ** 2 / n, yty - sum_y ** 2 / n
-            r2 = cov ** 2 / (var_p * var_y) if var_p > 0 and var_y > 0 else math.nan
-            fold_rows.append((int(f), int(size), float(math.sqrt(max(mse, 0.0))), float(r2),
-                              float(absolute[f][k] / n), int(round(n))))
+            b = slopes[f, :, k]
+            fitted, seen = held.r[:, :-1] @ b, held.r[:, -1]
+            bias = offset[-1] - offset[:-1] @ b
+            mse = bias ** 2 + ((seen - fitted) ** 2).sum() / held.n
+            spread = (fitted @ fitted) * (seen @ seen)
+            r2 = (fitted @ seen) ** 2 / spread if spread > 0 else math.nan
+            fold_rows.append((int(f), int(size), float(math.sqrt(mse)), float(r2),
+                              float(absolute[f][k] / held.n), int(round(held.n))))
     frame = pd.DataFrame(fold_rows, columns=["fold", "nvmax", "rmse", "r2", "mae", "n"])
     grouped = frame.groupby("nvmax")[["rmse", "r2", "mae"]]
     means, spreads = grouped.mean(), grouped.std()
     results = [(int(k), *map(float, means.loc[k]), *map(float, spreads.loc[k])) for k in means.index]
-    best = int(means["rmse"].idxmin())
-    final = backward_path(total, max(sizes))
-    chosen = [(int(size), names[i], i in set(final[size][0]))
-              for size in sizes for i in range(1, len(names))]
+    final = backward_path(total, width, max(sizes, default=0))
+    best = int(means["rmse"].idxmin()) if len(means) else 0
+    chosen = [(int(size), names[i], i in set(final[size][0])) for size in sizes for i in range(width)]
+    positions, beta = final[best]
+    start = float(total.means[-1] - total.means[positions] @ beta)
     return SubsetSearch(
         spark.createDataFrame(results, "nvmax int, rmse double, r2 double, mae double, "
                                        "rmse_sd double, r2_sd double, mae_sd double"),
         spark.createDataFrame(fold_rows, "fold int, nvmax int, rmse double, r2 double, mae double, n bigint"),
         best,
         spark.createDataFrame(chosen, "nvmax int, term string, included boolean"),
-        spark.createDataFrame([(names[i], float(b)) for i, b in zip(*final[best])],
+        spark.createDataFrame([("(Intercept)", start), *[(names[i], float(b)) for i, b in zip(positions, beta)]],
                               "term string, estimate double"))
 
 
-def _absolute_errors(rows: DataFrame, columns: dict[str, Column], fold: Column,
-                     weights: np.ndarray) -> dict[int, list[float]]:
+def _absolute_errors(ready: DataFrame, matrix: Callable[[pa.RecordBatch], np.ndarray],
+                     centre: np.ndarray, slopes: np.ndarray) -> dict[int, list[float]]:
     """Sum of absolute held-out errors by fold, one value per subset size."""
-    sizes = weights.shape[2]
+    sizes = slopes.shape[2]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((len(weights), sizes))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(slopes), sizes))
         for batch in batches:
-            keys = batch["_by"].to_numpy()
-            values = batch.iloc[:, 1:].to_numpy(dtype=float)
+            keys, values = batch.column("_fold").to_numpy(), matrix(batch)
             for f in np.unique(keys):
-                part = values[keys == f]
-                sums[f] += np.abs(part[:, -1:] - part[:, :-1] @ weights[f]).sum(axis=0)
+                part = values[keys == f] - centre[f]
+                sums[f] += np.abs(part[:, -1:] - part[:, :-1] @ slopes[f]).sum(axis=0)
         f, k = np.indices(sums.shape)
-        yield pd.DataFrame({"fold": f.ravel(), "k": k.ravel(), "v": sums.ravel()})
+        yield pa.RecordBatch.from_arrays([pa.array(f.ravel(), pa.int32()), pa.array(k.ravel(), pa.int32()), pa.array(sums.ravel())],
+                                         ["fold", "k", "v"])
 
-    scored = (rows.select(fold.alias("_by"), *[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns.values())])
-                  .mapInPandas(score, "fold int, k int, v double")
-                  .groupBy("fold", "k").agg(F.sum("v").alias("v")).collect())
-    result: dict[int, list[float]] = {f: [0.0] * sizes for f in range(len(weights))}
+    scored = (ready.mapInArrow(score, "fold int, k int, v double")
+                   .groupBy("fold", "k").agg(F.sum("v").alias("v")).collect())
+    result: dict[int, list[float]] = {f: [0.0] * sizes for f in range(len(slopes))}
     for f, k, v in scored:
         result[f][k] = v
     return result
