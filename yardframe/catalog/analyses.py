@@ -33,6 +33,12 @@ def _players(t, with_strength: bool = True) -> DataFrame:
         plays, _season_rosters(t), strength.team_strength(plays) if with_strength else None)
 
 
+def _all_players(t, with_strength: bool = True) -> DataFrame:
+    """Player plays of all seasons; a player's first roster row stands for the player."""
+    return player_plays.player_plays(t.plays, settle(expected.first_roster_rows(t.rosters)),
+                                     strength.team_strength(t.plays) if with_strength else None)
+
+
 # ---------------------------------------------------------------- splits
 
 @register("third_and_long", """

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from yardframe.catalog.analyses import _all_players
 from yardframe.catalog.base import ERAS, MAX_RANK, SEASON, SPAN, TEAM, register
-from yardframe.catalog.steps import BACK_RUNS, FIRST_ROWS, PLAYER_PLAYS
+from yardframe.catalog.steps import ALL_PLAYER_PLAYS, BACK_RUNS, FIRST_ROWS, PLAYER_PLAYS
 from yardframe.functions.nulls import (
     if_else, null_fill, paste, ratio, row_count, strict_mean, strict_mean_where, strict_sum, sum_where,
     threshold_flag, weighted_mean, without_nulls,
@@ -94,9 +95,9 @@ SELECT factor, level, CAST(row_number() OVER (PARTITION BY factor ORDER BY level
 FROM (SELECT DISTINCT 'rec_position' AS factor, 'WR' AS ref, rec_position AS level FROM players WHERE rec_position IS NOT NULL
       UNION ALL
       SELECT DISTINCT 'rush_position', 'RB', rush_position FROM players WHERE rush_position IS NOT NULL)""",
-          tables=["plays", "rosters"], steps=PLAYER_PLAYS)
+          tables=["plays", "rosters"], steps=ALL_PLAYER_PLAYS)
 def _(t):
-    players = _players(t)
+    players = _all_players(t, with_strength=False)
     terms = [Factor("rec_position", ref="WR"), Factor("rush_position", ref="RB")]
     levels = Design.learn(players, terms).levels
     return t.spark.createDataFrame(

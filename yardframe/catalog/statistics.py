@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yardframe.functions.nulls import without_nulls
-from yardframe.catalog.analyses import BOTH, _players
+from yardframe.catalog.analyses import BOTH, _all_players
 from yardframe.catalog.base import register
-from yardframe.catalog.steps import PLAYER_PLAYS
+from yardframe.catalog.steps import ALL_PLAYER_PLAYS
 from yardframe.models.design import Design, Factor, Numeric, complete_cases
 from yardframe.models.linear import (
     breusch_pagan, fit_linear, fit_logistic, predict, rmse, robust_covariance, score_logistic, trend_line,
@@ -134,12 +134,12 @@ SELECT 'team_location_gap', team_location_gap, NULL, count(*), sum(shotgun), sum
 UNION ALL
 SELECT 'pair', rusher_id, team_location_gap, count(*), NULL, NULL FROM model_rows GROUP BY rusher_id, team_location_gap""",
           tables=BOTH, reals=["shotgun_sum", "epa_sum"],
-          steps=PLAYER_PLAYS.rstrip() + """,
+          steps=ALL_PLAYER_PLAYS.rstrip() + """,
 model_rows AS (SELECT rusher_id, team_location_gap, CAST(shotgun AS DOUBLE) AS shotgun, epa FROM players
   WHERE play_type = 'run' AND epa IS NOT NULL AND shotgun IS NOT NULL
     AND rusher_id IS NOT NULL AND team_location_gap IS NOT NULL)""")
 def _(t):
-    runs = player_plays.run_model_rows(_players(t, with_strength=False))
+    runs = player_plays.run_model_rows(_all_players(t, with_strength=False))
     rows = complete_cases(runs, F.col("epa"), [Numeric("shotgun")], RUSH_GROUPS)
     cells = settle(level_cells(rows, RUSH_GROUPS, {"shotgun": F.col("shotgun"), "epa": F.col("_y")}))
     blocks = [factor_table(cells, g, 2).select(
@@ -151,7 +151,7 @@ def _(t):
 
 
 def _rushing(t):
-    runs = player_plays.run_model_rows(_players(t))
+    runs = player_plays.run_model_rows(_all_players(t))
     return fit_mixed(runs, F.col("epa"), ratings.RUSHING_TERMS, RUSH_GROUPS)
 
 
@@ -160,7 +160,7 @@ def _(t):
     return _rushing(t).variance_table()
 
 
-@register("mixed_group_intercepts", """
+@register("mixed_fixed_ratio", """
 SELECT g.level, g.n, b.b + (0.25 * g.n / (1 + 0.25 * g.n)) * (g.mean - b.b) AS intercept
 FROM (SELECT rusher_id AS level, count(*) AS n, avg(epa) AS mean FROM plays
       WHERE rusher_id IS NOT NULL AND epa IS NOT NULL GROUP BY rusher_id) g,
@@ -177,7 +177,7 @@ def _(t):
 
 
 def _line_rows(t) -> DataFrame:
-    runs = player_plays.run_model_rows(_players(t, with_strength=False))
+    runs = player_plays.run_model_rows(_all_players(t, with_strength=False))
     return without_nulls(runs, ["epa", "rush_position", "down"])
 
 
@@ -192,7 +192,7 @@ def _(t):
 
 @register("rating_component_split")
 def _(t):
-    sets = player_plays.pass_model_sets(_players(t, with_strength=False))
+    sets = player_plays.pass_model_sets(_all_players(t, with_strength=False))
     with_receivers, without = ratings.passing_fits(sets["all"])
     return with_receivers.variance_table().withColumn("model", F.lit("with receivers")).unionByName(
         without.variance_table().withColumn("model", F.lit("without receivers")))

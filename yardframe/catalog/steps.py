@@ -109,3 +109,8 @@ rush_rows AS (
   FROM plays p LEFT JOIN defense d ON coalesce(p.defteam, 'NA') || '_' || p.season = d.def_season
   WHERE p.play_type = 'run' AND p.yardline_100 IS NOT NULL AND p.down IS NOT NULL AND p.roof IS NOT NULL)
 """
+
+#: all seasons; a player's first roster row stands for the player
+ALL_PLAYER_PLAYS = FIRST_ROWS.rstrip() + "," + PLAYER_PLAYS.replace(
+    "SELECT * FROM plays WHERE season = 2001", "SELECT * FROM plays").replace(
+    "SELECT gsis_id, position, team, full_name FROM rosters WHERE season = 2001", "SELECT gsis_id, position FROM first_rows")

@@ -97,14 +97,23 @@ def suffixed_left_join(left: DataFrame, right: DataFrame, on: Sequence[str],
 
 
 def role_join(detail: DataFrame, rosters: DataFrame, roles: Mapping[str, str],
-              small: bool | None = None) -> DataFrame:
+              small: bool | None = None, dedupe: bool = False) -> DataFrame:
     """Join one roster several times: ``roles`` maps a player-id column to the new column.
 
     The roster is cut to its id and position, so that each role adds one column, and counted once.
+    A player listed twice multiplies the detail rows; ``dedupe`` keeps one row of each player, the
+    one of the earliest season and then the least position.
     """
-    people = rosters.select("gsis_id", "position")
+    people = one_row_per_player(rosters) if dedupe else rosters.select("gsis_id", "position")
     small = fits_broadcast(people) if small is None else small
     for id_column, position_column in roles.items():
         detail = lookup_join(detail, people.withColumnRenamed("position", position_column),
                              {id_column: "gsis_id"}, null_safe=True, small=small)
     return detail
+
+
+def one_row_per_player(rosters: DataFrame) -> DataFrame:
+    """gsis_id and position of each player's earliest season, the least position where it has several."""
+    order = [c for c in ("season",) if c in rosters.columns]
+    rank = F.struct(*[F.col(c) for c in order], F.col("position").isNull().alias("no_position"), F.col("position").alias("least"))
+    return settle(rosters.groupBy("gsis_id").agg(F.min_by("position", rank).alias("position")))

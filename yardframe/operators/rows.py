@@ -26,12 +26,20 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 def dense_rank_within(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """Descending dense rank of ``value`` in each group; a null value has no rank.
 
-    Only the distinct values are ranked. Carries of one season add up to its plays, so n plays
-    hold at most about sqrt(2n) distinct counts and the ranked table stays small.
+    The distinct values are dealt by range, so no task holds a group. Each range is ranked by
+    itself, and the number of values in the group's earlier ranges is added to its ranks.
     """
-    values = df.select(group, value).distinct()
-    rank = F.dense_rank().over(W.partitionBy(group).orderBy(F.desc_nulls_last(value)))
-    ranks = values.withColumn(name, F.when(F.col(value).isNotNull(), rank))
+    order = F.desc_nulls_last(value)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = settle(df.select(group, value).distinct().repartitionByRange(parts, F.col(group), order)
+                      .withColumn("_part", F.spark_partition_id()))
+    counts = values.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(group, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    own = values.withColumn("_own", F.dense_rank().over(W.partitionBy(group, "_part").orderBy(order)))
+    ranked = lookup_join(own, settle(starts), [group, "_part"], null_safe=True, salt_on=[value])
+    rank = (F.col("_own") + F.col("_before")).cast("int")
+    ranks = ranked.select(group, value, F.when(F.col(value).isNotNull(), rank).alias(name))
     return lookup_join(df, settle(ranks), [group, value], null_safe=True, salt_on=df.columns)
 
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from yardframe.functions.nulls import null_fill, row_count, strict_mean, without_nulls
 from yardframe.functions.text import decode_player_ids, unite
-from yardframe.models.design import Factor, Numeric
+from yardframe.models.design import Factor, Numeric, Term
 from yardframe.models.linear import (
     LinearFit, LogisticFit, breusch_pagan, fit_linear, fit_logistic, predict, rmse,
-    robust_covariance, score_logistic,
+    robust_covariance, score_logistic, trend_line,
 )
 from yardframe.models.resample import stratified_split
 from yardframe.operators.joins import lookup_join, settle
@@ -35,10 +35,11 @@ def completion_rows(plays: DataFrame, seasons: Sequence[int]) -> DataFrame:
     return with_defense_strength(attempts)
 
 
-def completion_score(plays: DataFrame, seasons: Sequence[int]) -> tuple[DataFrame, LogisticFit]:
+def completion_score(plays: DataFrame, seasons: Sequence[int], terms: Sequence[Term] = COMPLETION_TERMS
+                     ) -> tuple[DataFrame, LogisticFit]:
     """Every pass attempt with its completion log-odds, probability and completion over expected."""
     rows = completion_rows(plays, seasons)
-    fit = fit_logistic(rows, F.col("complete_pass"), COMPLETION_TERMS)
+    fit = fit_logistic(rows, F.col("complete_pass"), terms)
     scored = score_logistic(rows, fit, "cpoe_link", "expected_completion")
     return scored.withColumn("cpoe", F.col("complete_pass") - F.col("expected_completion")), fit
 
@@ -104,14 +105,14 @@ class ExpectedRush:
 
 
 def expected_rush_model(rows: DataFrame, share: float = 0.7, seed: int = 123,
-                        inverse: str = "exp") -> ExpectedRush:
+                        inverse: str = "exp", terms: Sequence[Term] = RUSH_TERMS) -> ExpectedRush:
     """Fit on a stratified share of the rows, score the rest and test the residual variance."""
     spark = rows.sparkSession
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     split = stratified_split(rows, "yards_gained", ["game_id", "play_id"], share, seed)
     train, held_out = split.filter("in_train"), split.filter(~F.col("in_train"))
     outcome = F.asinh("yards_gained")
-    fit = fit_linear(train, outcome, RUSH_TERMS)
+    fit = fit_linear(train, outcome, terms)
     scored = with_rush_prediction(held_out, fit, inverse).withColumns({
         "over_pred": F.col("yards_gained") - F.col("pred"),
         "asinh_yards_gained": F.asinh("yards_gained"),
@@ -133,6 +134,29 @@ def feed_predicted_actual(scored: DataFrame) -> DataFrame:
     return scored.select(F.col("exp_pred").alias("x"), F.col("yards_gained").alias("y"))
 
 
+def with_trend(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Add ``line``, the least-squares line at each point, and ``line_error``, its standard error;
+    t times the error is the half width of the confidence band."""
+    fitted = trend_line(points, x, y).first()  # one row
+
+    def part(name: str) -> Column:
+        return F.lit(fitted[name]).cast("double")
+    gap = F.col(x) - part("mean_x")
+    return points.withColumns({
+        "line": part("intercept") + part("slope") * F.col(x),
+        "line_error": part("sigma") * F.sqrt(1.0 / part("n") + gap * gap / part("sxx"))})
+
+
+def feed_with_line(model: ExpectedRush) -> DataFrame:
+    """The validation points of the fit, predicted against actual, with their trend line."""
+    return with_trend(feed_predicted_actual(model.validation))
+
+
+def rusher_board(model: ExpectedRush, rosters: DataFrame, inverse: str = "exp", min_carries: int = 20) -> DataFrame:
+    """Rushers over expected, with every run scored by the fit."""
+    return rusher_over_expected(with_rush_prediction(model.rows, model.fit, inverse), rosters, min_carries=min_carries)
+
+
 def first_roster_rows(rosters: DataFrame) -> DataFrame:
     """Each player's first roster row; its season is the rookie year."""
     first = first_per_key(

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yardframe.functions.nulls import null_fill, paste, without_nulls
 from yardframe.functions.text import decode_player_ids
-from yardframe.operators.joins import fits_broadcast, lookup_join, role_join, settle
+from yardframe.operators.joins import fits_broadcast, lookup_join, one_row_per_player, settle
 from yardframe.plans.strength import offense_strength
 
 
-def _no_text() -> Column:
-    return F.lit(None).cast("string")
-
-
 def with_gap_labels(plays: DataFrame) -> DataFrame:
     """Add ``location_gap`` and ``team_location_gap``.
 
@@ -28,27 +24,30 @@ def with_gap_labels(plays: DataFrame) -> DataFrame:
                  .withColumn("team_location_gap", F.when(is_run, paste("posteam", "location_gap"))))
 
 
-def _with_player(plays: DataFrame, id_column: str) -> DataFrame:
-    """Plays that name the player; the test on the stored id reaches the scan."""
-    has_player = F.col(id_column).isNotNull()
-    return decode_player_ids(plays.filter(has_player)).filter(has_player)
-
-
-def player_plays(plays: DataFrame, rosters: DataFrame, strength: DataFrame | None = None) -> DataFrame:
+def player_plays(plays: DataFrame, rosters: DataFrame, strength: DataFrame | None = None,
+                 dedupe: bool = False) -> DataFrame:
     """Passes with a receiver and runs with a rusher, with positions and gap labels.
 
     A play with both a receiver and a rusher appears twice. A player listed twice in ``rosters``
-    multiplies the player's plays.
+    multiplies the player's plays, unless ``dedupe`` keeps one row of each. The plays are read once:
+    each is exploded into its roles, and a role's joins touch only its own rows.
     """
-    small = fits_broadcast(rosters.select("gsis_id", "position"))
-    passes = (role_join(_with_player(plays, "receiver_id"), rosters,
-                        {"passer_id": "passer_position", "receiver_id": "rec_position"}, small)
-              .withColumn("rush_position", _no_text()))
-    runs = role_join(
-        _with_player(plays, "rusher_id")
-        .withColumns({"passer_position": _no_text(), "rec_position": _no_text()}),
-        rosters, {"rusher_id": "rush_position"}, small)
-    both = passes.unionByName(runs)
+    people = one_row_per_player(rosters) if dedupe else rosters.select("gsis_id", "position")
+    small = fits_broadcast(people)
+    some = plays.filter(F.col("receiver_id").isNotNull() | F.col("rusher_id").isNotNull())
+    named = decode_player_ids(some)
+    roles = F.array_compact(F.array(F.when(F.col("receiver_id").isNotNull(), F.lit("pass")),
+                                    F.when(F.col("rusher_id").isNotNull(), F.lit("run"))))
+    rows = named.withColumn("_role", F.explode(roles))
+    is_pass = F.col("_role") == "pass"
+    rows = rows.withColumn("_player", F.when(is_pass, F.col("receiver_id")).otherwise(F.col("rusher_id")))
+    passers = people.select(F.lit("pass").alias("_role"), "gsis_id", F.col("position").alias("passer_position"))
+    rows = lookup_join(rows, passers, {"_role": "_role", "passer_id": "gsis_id"}, null_safe=True, small=small)
+    rows = lookup_join(rows, people.withColumnRenamed("position", "_position"), {"_player": "gsis_id"}, null_safe=True, small=small)
+    both = rows.withColumns({
+        "rec_position": F.when(is_pass, F.col("_position")),
+        "rush_position": F.when(~is_pass, F.col("_position")),
+    }).drop("_role", "_player", "_position")
     if strength is not None:
         both = lookup_join(both, settle(strength), "posteam", null_safe=True)
     return with_gap_labels(both)

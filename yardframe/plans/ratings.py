@@ -64,9 +64,11 @@ def player_ratings(players: DataFrame, rosters: DataFrame, attempts: int = 150,
         passes, runs = pass_model_rows(kept), run_model_rows(kept)
         passing = fit_mixed(passes, F.col("epa"), PASSING_TERMS, ["passer_id", "receiver_id"])
         rushing = fit_mixed(runs, F.col("epa"), RUSHING_TERMS, ["rusher_id", "team_location_gap"])
-        loads = {key: settle(workload(rows, key, name)) for rows, key, name in (
-            (passes, "passer_id", "attempts"), (passes, "receiver_id", "targets"),
-            (runs, "rusher_id", "carries"), (runs, "team_location_gap", "rushes"))}
+        pass_loads = workload_table(passes, ["passer_id", "receiver_id"])
+        run_loads = workload_table(runs, ["rusher_id", "team_location_gap"])
+        loads = {key: table.withColumnRenamed("plays", name) for key, name, table in (
+            ("passer_id", "attempts", pass_loads["passer_id"]), ("receiver_id", "targets", pass_loads["receiver_id"]),
+            ("rusher_id", "carries", run_loads["rusher_id"]), ("team_location_gap", "rushes", run_loads["team_location_gap"]))}
     finally:
         kept.unpersist()
     line = lookup_join(rating(rushing, "team_location_gap", "line_rating"), loads["team_location_gap"],
@@ -100,6 +102,33 @@ def passer_split(with_receivers: MixedFit, without: MixedFit) -> DataFrame:
     return both.withColumn("split", F.col("epa_with_rec") - F.col("epa_no_rec"))
 
 
+def passing_boards(passer_fit: MixedFit, receiver_fit: MixedFit, passes: DataFrame, rosters: DataFrame,
+                   year: str, attempts: int = 100) -> dict[str, DataFrame]:
+    """Boards from the fits: ``passer``, ``team`` (attempt-weighted) and ``receiver`` against the team.
+
+    ``passes`` are all passes, whose counts are the workloads; both fits may be the same.
+    """
+    loads = workload_table(passes, ["passer_id", "receiver_id"])
+    passers = settle(named_rating(rating(passer_fit, "passer_id", "epa_with_rec"), "passer_id", "epa_with_rec", rosters,
+                                  loads["passer_id"].withColumnRenamed("plays", "attempts"), "attempts", attempts))
+    teams = team_weighted_rating(passers)
+    receivers = named_rating(rating(receiver_fit, "receiver_id", "epa_rec"), "receiver_id", "epa_rec", rosters,
+                             loads["receiver_id"].withColumnRenamed("plays", "targets"), "targets", None)
+    return {"passer": passers, "team": teams, "receiver": receiver_relative_rating(receivers, teams, year)}
+
+
+def workload_table(rows: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
+    """Plays by each key, from one scan: all keys are grouping sets of one stored table."""
+    sets = rows.groupingSets([[k] for k in keys], *keys).agg(row_count().alias("plays"), F.grouping_id(*keys).alias("_set"))
+    table = settle(sets)
+    return {k: table.filter(F.col("_set") == _set_number(i, len(keys))).select(k, "plays") for i, k in enumerate(keys)}
+
+
+def _set_number(i: int, size: int) -> int:
+    """Grouping id of the set that holds only key ``i``: a bit is set for each key left out."""
+    return (1 << size) - 1 - (1 << (size - 1 - i))
+
+
 def team_weighted_rating(passers: DataFrame) -> DataFrame:
     """Attempt-weighted passer rating by team; expects ``team``, ``epa_with_rec``, ``attempts``."""
     return (

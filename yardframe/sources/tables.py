@@ -56,9 +56,11 @@ def append_new_games(incoming: DataFrame, path: str) -> None:
     names = [field.name for field in PLAYS if field.name in incoming.columns]
     rows = incoming.select(names)
     if _has_rows_at(spark, path):
-        existing = spark.read.parquet(path)
-        seasons = existing.select("season", "game_id")
-        rows = missing_games(rows, seasons)
+        # only the folders of incoming seasons are read; there is one season a year
+        seasons = [r["season"] for r in rows.select("season").distinct().collect()]
+        stored = spark.read.parquet(path).select("season", "game_id")
+        rows = missing_games(rows, in_seasons(stored, [s for s in seasons if s is not None])
+                             if None not in seasons else stored)
     (rows.hint("rebalance", F.col("season"))
          .write.mode("append").partitionBy("season").parquet(path))
 

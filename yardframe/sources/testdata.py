@@ -108,4 +108,4 @@ def common_tables(*names: str) -> str:
     """``WITH`` prefix for checking SQL that defines the named derived tables."""
     texts = {"plays": PLAYS_SQL, "rosters": ROSTERS_SQL, "teams": TEAMS_SQL}
     plain = {name: name for name in _TABLES}
-    return "WITH " + ",\n".join(f"{name} AS ({texts[name].format(**plain)})" for name in names)
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({texts[name].format(**plain)})" for name in names)
