@@ -1,19 +1,20 @@
 """N-gram Jaccard join by vertical partitioning, with connected components.
 
-1. Every text becomes the set of its distinct word shingles (64-bit hashes); equal sets are one node.
+1. Every text becomes the set of its distinct word shingles (64-bit hashes); equal sets (by 128 bits) are one node.
 2. Shingles have one global order: by count where they are frequent, then by hash. Two sets of Jaccard t share `SHARED`
    of their first n - ceil(t * n) + SHARED shingles in any such order, so nodes with that many in common are candidates.
    Counts cover all texts; they only order, so a count that stays below the true one costs time, not links.
-3. Candidates of one shingle are first paired with two pivots of the shingle only. Where its nodes are then not one
-   component, those of different components are paired all. A pair is left out only where a chain of
-   confirmed links joins the two already, so components are exact.
-4. The order of shingle hashes is cut into fragments. For a pair the overlap of each fragment is counted by itself, and
-   the counts are summed per pair; pairs that reach the threshold are links.
-5. Labels of linked nodes fall to the least node number in rounds until none changes.
+3. A prefix shingle that no other prefix holds is in no set with which a later prefix shingle is shared. So for each
+   shared shingle the lone ones before it bound the overlap of any two nodes that share it, before a pair is made.
+4. In rounds each node is paired with one pivot only: of the pivots of its shingles the one it shares most with. Shingles
+   whose nodes are one component by then are done. What is left apart after the rounds is paired all. A pair
+   is left out only where a chain of confirmed links joins the two already, so components are exact.
+5. The order of shingle hashes is cut into fragments. For a pair the overlap of each fragment is counted by itself, and
+   the counts are summed per pair; pairs that reach the threshold are links. A pivot of many pairs is salted.
 
 A null text or one without words has an empty set and is linked with nothing; fewer words than a shingle are one
 shingle. Repeated rows are copies. A row with a null key takes part but names no component, unless all keys of a
-component are null. An empty table gives no rows.
+component are null. An empty table gives no rows. Columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from yardframe.llm.components import components, with_value_of_key
 from yardframe.llm.tables import stored, text_of
 from yardframe.llm.words import SPACED_LOWER, gram_hashes, mix, pieces, split_words
 
@@ -33,6 +35,8 @@ SEEN_FROM = 2
 SHARED = 3
 FRAGMENTS = 8
 BROADCAST_TEXTS = 1 << 20  # text numbers: 16 MB; beyond, texts are joined by shuffle
+ROUNDS = 5
+PAIRS_OF_A_PIVOT = 512  # more pairs of one pivot are split
 
 
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
@@ -42,13 +46,15 @@ def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
             yield np.unique(gram_hashes(w.hash[first:end], min(size, max(1, end - first)))) if end > first else np.zeros(0, np.uint64)
 
 
-def set_number(s: np.ndarray) -> np.ndarray:
-    """64 bits for a set of shingles."""
-    return mix(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True, dtype=np.uint64) + np.uint64(len(s)))
+def set_number(s: np.ndarray) -> bytes:
+    """16 bytes for a set of shingles."""
+    halves = [np.add.reduce(mix(s ^ np.uint64(seed)), dtype=np.uint64) + np.uint64(len(s))
+              for seed in (0x5851F42D4C957F2D, 0xA0761D6478BD642F)]
+    return mix(np.array(halves, np.uint64)).tobytes()
 
 
 def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, FREQUENT at most, sorted, and their counts. The least count taken is taken whole."""
+    """The most frequent shingles, FREQUENT at most, sorted, and their counts. A count is taken whole or not at all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column("text").to_pylist(), size))
@@ -57,17 +63,36 @@ def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["shingle", "n"])
 
     counts = stored(texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2"))
-    sizes = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()
-    least, held = 10_000, 0
-    for row in sorted(sizes, key=lambda r: -r["n"]):
-        held += row["count"]
-        least = row["n"] if held <= FREQUENT else least
+    least = _least_count(counts)
     rows = counts.where(F.col("n") >= least).toArrow()
     h, n = rows.column("shingle").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
+def _least_count(counts: DataFrame) -> int:
+    """The least n such that at most FREQUENT rows have n or more, found by halving the range of counts."""
+    top = counts.agg(F.max("n")).first()[0] or 0
+    low, high, above = 0, int(top) + 1, 0  # at most FREQUENT rows have n >= high; `above` of them
+    while low + 1 < high:
+        width = max(1, (high - low) // 256)
+        inside = counts.where((F.col("n") > low) & (F.col("n") < high))
+        bins = {r["bin"]: r["count"] for r in inside.groupBy(F.floor((F.col("n") - low - 1) / width).alias("bin")).count().collect()}
+        fits, cut, over = above, high, False
+        for i in sorted(bins, reverse=True):
+            if fits + bins[i] > FREQUENT:
+                low, over = max(low, low + i * width), True
+                break
+            fits += bins[i]
+            cut = low + 1 + i * width
+        if not over:
+            return low + 1
+        above, high = fits, min(cut, low + width + 1)
+        if width == 1:
+            return high
+    return high
+
+
 def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """key, mark (of the text), node, n (set size), prefix: the set's first shingles in the global order."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, size))
@@ -82,59 +107,84 @@ def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 must = (percent * len(s) + 99) // 100
                 keep = len(s) - must + min(SHARED, must)
                 first.append(s[np.lexsort((s, rank))[:keep]].view(np.int64))
-                node.append(set_number(s).view(np.int64)[0])
+                node.append(set_number(s))
                 n.append(len(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("mark"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))],
-                ["key", "mark", "node", "n", "prefix"])
+                [batch.column("key"), batch.column("mark"), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))],
+                ["key", "mark", "set", "n", "prefix"])
 
-    schema = texts.select("key", "mark").schema.add("node", "long").add("n", "long")
-    schema = texts.sparkSession.createDataFrame([], schema).withColumn("prefix", F.array().cast("array<long>")).schema
-    return texts.select("key", "mark", "text").mapInArrow(run, schema)
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.select("key", "mark", "text").mapInArrow(run, f"key {kind}, mark long, set binary, n long, prefix array<long>")
 
 
 def fragments_of(texts: DataFrame, size: int) -> DataFrame:
-    """texts: text, wanted (node). node, fragment, shingles: the set cut by ranges of the hash order."""
+    """texts: text, set, node, rows (with that text). node, rows, fragment, shingles: the set cut by ranges of the
+    hash order. A text that has copies comes once a task."""
     bounds = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            fresh = []
+            for i, (node, rows) in enumerate(zip(batch.column("node").to_pylist(), batch.column("rows").to_pylist(), strict=True)):
+                if node not in seen:
+                    fresh.append(i)
+                if rows > 1:
+                    seen.add(node)
+            batch = batch.take(pa.array(fresh, pa.int64()))
             out: list[tuple] = []
-            for wanted, s in zip(batch.column("wanted").to_pylist(), shingle_sets(batch.column("text").to_pylist(), size), strict=True):
-                if set_number(s).view(np.int64)[0] == wanted:
+            columns = [batch.column(c).to_pylist() for c in ("node", "rows", "set", "text")]
+            for node, rows, wanted, s in zip(*columns[:3], shingle_sets(columns[3], size), strict=True):
+                if set_number(s) == wanted:
                     cut = np.split(s.view(np.int64), np.searchsorted(s, bounds))
-                    out.extend((wanted, i, x) for i, x in enumerate(cut) if len(x))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()),
-                                              pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["node", "fragment", "shingles"])
+                    out.extend((node, rows, i, x) for i, x in enumerate(cut) if len(x))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()),
+                 pa.array([x[3] for x in out], pa.list_(pa.int64()))], ["node", "rows", "fragment", "shingles"])
 
-    return texts.select("text", "wanted").mapInArrow(run, "node long, fragment int, shingles array<long>")
+    return texts.select("text", "set", "node", "rows").mapInArrow(run, "node long, rows long, fragment int, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) whose Jaccard reaches the threshold: a, b."""
+    """Pairs (a, b, n_a, n_b) whose Jaccard reaches the threshold: a, b. b may be in very many pairs."""
+    crowd = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_OF_A_PIVOT).alias("salts"))
+    crowd = stored(crowd.where("salts > 1"))
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), "salts")).cast("int")
+    salted = pairs.join(crowd, "b", "left").select("a", "b", salt.alias("salt"))
     left = fragments.select(F.col("node").alias("a"), "fragment", F.col("shingles").alias("s"))
+    copies = F.sequence(F.lit(0), (F.coalesce("salts", F.lit(1)) - 1).cast("int"))
     right = fragments.select(F.col("node").alias("b"), "fragment", F.col("shingles").alias("t"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"])
-    partial = partial.select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("s", "t")).cast("long").alias("overlap"))
-    partial = partial.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("overlap").alias("overlap"))
-    both = F.sum("overlap")
-    total = partial.groupBy("a", "b", "n_a", "n_b").agg(both.alias("overlap"))
-    return total.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, component (the least node that links reach), for every node of a link."""
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    while True:
-        offered = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("offer"))
-        lower = labels.join(offered, labels["node"] == offered["a"]).select("node", F.least("component", "offer").alias("next"), "component")
-        heads = lower.select(F.col("node").alias("head"), F.col("next").alias("head_next"))
-        jumped = stored(lower.join(heads, lower["next"] == heads["head"]).select(
-            "node", F.col("head_next").alias("component"), (F.col("head_next") != F.col("component")).alias("moved")))
-        labels = jumped.select("node", "component")
-        if jumped.where("moved").isEmpty():
-            return labels
+    right = right.join(pairs.select("b").distinct(), "b", "left_semi").join(crowd, "b", "left").withColumn("salt", F.explode(copies)).drop("salts")
+    partial = salted.join(left, "a").join(right, ["b", "salt", "fragment"])
+    partial = partial.select("a", "b", "fragment", F.size(F.array_intersect("s", "t")).cast("long").alias("overlap"))
+    total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+    linked = pairs.join(total, ["a", "b"])
+    return linked.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
+def _reaches(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    return 100 * overlap >= percent * (n_a + n_b - overlap)
+
+
+def _held(nodes: DataFrame, percent: int) -> DataFrame:
+    """shingle, node, n, most: the prefix shingles that two nodes hold at least, with the greatest overlap that
+    the node can have with any other that holds the shingle in its prefix."""
+    firsts = nodes.select("node", "n", F.posexplode("prefix").alias("place", "shingle"))
+    twice = firsts.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1").select("shingle")
+    held = firsts.join(twice, "shingle")
+    before = F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1
+    most = F.col("n") - (F.col("place") - before)
+    return held.select("shingle", "node", "n", most.alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether lengths and lone shingles leave room for a link; columns n_<name> and most_<name>."""
+    most = F.least(F.col(f"most_{a}"), F.col(f"most_{b}"))
+    return _reaches(most, F.col(f"n_{a}"), F.col(f"n_{b}"), percent)
+
+
+def _must_share(percent: int) -> Column:
+    return F.least(F.lit(SHARED), F.ceil(percent * F.least("n_a", "n_b") / 100))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -142,55 +192,67 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     value = text_of(text)
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(value).alias("mark"), value.alias("text"))
     rows = stored(prefixes(texts, size, percent))
-    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("mark").alias("mark"), F.max("n").alias("n"), F.min("key").alias("least_key")))
-    firsts = rows.where("n > 0").select("node", "n", F.explode("prefix").alias("shingle"))
-    ends = firsts.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    held = stored(firsts.join(ends, "shingle").distinct())
-    sizes = nodes.select("node", "n")
-
-    def alike(x, y):
-        return (100 * F.least(x, y) >= percent * F.greatest(x, y))
-
-    def must_share(x, y):
-        return F.least(F.lit(SHARED), F.ceil(percent * F.least(x, y) / 100))
+    sets = rows.where("n > 0").groupBy("set").agg(F.min("mark").alias("mark"), F.max("n").alias("n"), F.min("key").alias("least_key"),
+                                                  F.count("*").alias("rows"), F.first("prefix").alias("prefix"))
+    nodes = stored(sets.withColumn("node", F.monotonically_increasing_id()))
+    held = stored(_held(nodes, percent))
+    links = _links(texts, nodes, held, size, percent)
+    labels = components(links)
+    named = nodes.join(labels, "node", "left").select("set", "rows", "least_key", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("least_key").alias("component_id"))
+    named = stored(named.join(least, "component").select("set", "rows", "component_id"))
+    some = with_value_of_key(rows.where("n > 0").select("key", "set", "n"), named, "set", "rows")
+    none = rows.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
+    return some.select("key", "n", "component_id").unionByName(none).select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
-    def ordered(a, b, n_a, n_b) -> list:
-        swap = F.col(a) > F.col(b)
-        return [F.when(swap, F.col(b)).otherwise(F.col(a)).alias("a"), F.when(swap, F.col(a)).otherwise(F.col(b)).alias("b"),
-                F.when(swap, F.col(n_b)).otherwise(F.col(n_a)).alias("n_a"), F.when(swap, F.col(n_a)).otherwise(F.col(n_b)).alias("n_b")]
 
-    def links_of(pairs: DataFrame) -> DataFrame:
+def _links(texts: DataFrame, nodes: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """Confirmed links a < b that connect what the threshold connects."""
+    def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = stored(wanted.join(nodes.select("node", "mark"), "node").select(F.col("node").alias("wanted"), "mark"))
+        wanted = stored(nodes.select("node", "mark", "set", "rows").join(wanted, "node", "left_semi"))
         few = wanted.count() <= BROADCAST_TEXTS
         found = texts.join(F.broadcast(wanted) if few else wanted, "mark")
-        return confirmed(pairs, stored(fragments_of(found, size)), percent)
-
-    # Stars around each shingle's least and greatest node.
-    star = held.select("node", "n", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot")
-    star = star.groupBy("node", "n", "pivot").agg(F.count("*").alias("shared"))
-    star = star.join(sizes.withColumnsRenamed({"node": "pivot", "n": "n_pivot"}), "pivot")
-    star = star.where(alike(F.col("n"), F.col("n_pivot")) & (F.col("shared") >= must_share(F.col("n"), F.col("n_pivot"))))
-    done = stored(star.select(*ordered("node", "pivot", "n", "n_pivot")).distinct())
-    links = stored(links_of(done))
-
-    # Nodes that share enough and are still apart are compared all.
-    labels = components(links)
-    placed = held.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    placed = stored(placed.join(apart.select("shingle"), "shingle", "left_semi"))
-    other = placed.withColumnsRenamed({"node": "pivot", "n": "n_pivot", "component": "c_pivot"})
-    pairs = placed.join(other, "shingle").where((F.col("node") < F.col("pivot")) & (F.col("component") != F.col("c_pivot"))
-                                                & alike(F.col("n"), F.col("n_pivot")))
-    pairs = pairs.groupBy("node", "pivot", "n", "n_pivot").agg(F.count("*").alias("shared"))
-    pairs = pairs.where(F.col("shared") >= must_share(F.col("n"), F.col("n_pivot"))).select(*ordered("node", "pivot", "n", "n_pivot"))
-    pairs = stored(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        links = stored(links.unionByName(links_of(pairs)))
-    labels = components(links)
-    named = nodes.join(labels, "node", "left").select("node", "least_key", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("least_key").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
-    out = rows.join(named, "node", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+        cut = stored(fragments_of(found, size))
+        once = cut.where("rows = 1").unionByName(cut.where("rows > 1").dropDuplicates(["node", "fragment"]))
+        return confirmed(pairs, once.drop("rows"), percent)
+
+    empty = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b")).where(F.lit(False))
+    tested, links = empty, empty.select("a", "b")
+    apart = held.withColumn("component", F.col("node"))
+    for number in range(ROUNDS):
+        # of each shingle's nodes the pivot is first the one with fewest lone shingles, then any
+        lead = F.struct(*([(F.col("n") - F.col("most")).alias("lone")] if number == 0 else []),
+                        F.xxhash64("node", F.lit(number)).alias("draw"), F.col("node").alias("b"), F.col("n").alias("n_b"),
+                        F.col("most").alias("most_b"), F.col("component").alias("component_b"))
+        pivots = apart.groupBy("shingle").agg(F.min(lead).alias("pivot")).select("shingle", "pivot.*")
+        star = apart.select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), "component").join(
+            pivots.drop("lone", "draw"), "shingle")
+        star = star.where((F.col("component") != F.col("component_b")) & _may_link("a", "b", percent))
+        star = star.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= _must_share(percent))
+        star = star.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(
+            tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        best = star.groupBy("a").agg(F.max_by(F.struct("b", "n_a", "n_b"), F.struct("shared", F.col("b"))).alias("p"))
+        pairs = stored(best.select("a", "p.*"))
+        if pairs.isEmpty():
+            break
+        tested = stored(tested.unionByName(pairs))
+        links = stored(links.unionByName(verified(pairs)))
+        labels = components(links)
+        placed = held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("k"))
+        mixed = stored(mixed.where("c0 <> c1").select("shingle", "k"))
+        apart = stored(placed.join(mixed.select("shingle"), "shingle", "left_semi"))
+        left = mixed.agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("pairs"), F.sum("k").alias("rows")).first()
+        if (left["pairs"] or 0) <= 8 * (left["rows"] or 0):
+            break
+    # what is still apart is compared all
+    one = apart.select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("component").alias("component_a"))
+    two = apart.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("component").alias("component_b"))
+    pairs = one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _may_link("a", "b", percent))
+    pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    pairs = pairs.where(F.col("shared") >= _must_share(percent)).drop("shared")
+    pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    pairs = stored(pairs)
+    return links if pairs.isEmpty() else stored(links.unionByName(verified(pairs)))
