@@ -6,11 +6,15 @@
    Counts cover all texts; they only order, so a count that stays below the true one costs time, not links.
 3. A prefix shingle that no other prefix holds is in no set with which a later prefix shingle is shared. So for each
    shared shingle the lone ones before it bound the overlap of any two nodes that share it, before a pair is made.
-4. In rounds each node is paired with one pivot only: of the pivots of its shingles the one it shares most with. Shingles
-   whose nodes are one component by then are done. What is left apart after the rounds is paired all. A pair
-   is left out only where a chain of confirmed links joins the two already, so components are exact.
+4. Each node is first paired with one pivot only: of the pivots of its shingles, which have fewest lone shingles, the one
+   it shares most with. Shingles whose nodes are one component by then are done.
 5. The order of shingle hashes is cut into fragments. For a pair the overlap of each fragment is counted by itself, and
    the counts are summed per pair; pairs that reach the threshold are links. A pivot of many pairs is salted.
+6. Two nodes with the same pivot differ from it by few shingles, `missing` and `added` ones, which the fragments give too. Their
+   overlap is the pivot's size less what either misses, plus what both miss or both add. So they can only be linked if
+   they share such a shingle, or if both are linked to the pivot: joining on those, not on the shingles that the
+   whole group has, gives their exact overlap. Nodes of different pivots that are still apart are paired by shingle.
+   A pair is left out only where a chain of confirmed links joins the two already, so components are exact.
 
 A null text or one without words has an empty set and is linked with nothing; fewer words than a shingle are one
 shingle. Repeated rows are copies. A row with a null key takes part but names no component, unless all keys of a
@@ -35,7 +39,6 @@ SEEN_FROM = 2
 SHARED = 3
 FRAGMENTS = 8
 BROADCAST_TEXTS = 1 << 20  # text numbers: 16 MB; beyond, texts are joined by shuffle
-ROUNDS = 5
 PAIRS_OF_A_PIVOT = 512  # more pairs of one pivot are split
 
 
@@ -119,7 +122,7 @@ def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
 def fragments_of(texts: DataFrame, size: int) -> DataFrame:
     """texts: text, set, node, rows (with that text). node, rows, fragment, shingles: the set cut by ranges of the
-    hash order. A text that has copies comes once a task."""
+    hash order, empty ones too. A text that has copies comes once a task."""
     bounds = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +140,7 @@ def fragments_of(texts: DataFrame, size: int) -> DataFrame:
             for node, rows, wanted, s in zip(*columns[:3], shingle_sets(columns[3], size), strict=True):
                 if set_number(s) == wanted:
                     cut = np.split(s.view(np.int64), np.searchsorted(s, bounds))
-                    out.extend((node, rows, i, x) for i, x in enumerate(cut) if len(x))
+                    out.extend((node, rows, i, x) for i, x in enumerate(cut))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()),
                  pa.array([x[3] for x in out], pa.list_(pa.int64()))], ["node", "rows", "fragment", "shingles"])
@@ -145,8 +148,9 @@ def fragments_of(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("text", "set", "node", "rows").mapInArrow(run, "node long, rows long, fragment int, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) whose Jaccard reaches the threshold: a, b. b may be in very many pairs."""
+def compared(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """a, b, fragment, added (shingles of a that b has not), missing (of b that a has not), size (of a) for the pairs
+    (a, b). b may be in very many pairs."""
     crowd = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_OF_A_PIVOT).alias("salts"))
     crowd = stored(crowd.where("salts > 1"))
     salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), "salts")).cast("int")
@@ -156,10 +160,40 @@ def confirmed(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame
     right = fragments.select(F.col("node").alias("b"), "fragment", F.col("shingles").alias("t"))
     right = right.join(pairs.select("b").distinct(), "b", "left_semi").join(crowd, "b", "left").withColumn("salt", F.explode(copies)).drop("salts")
     partial = salted.join(left, "a").join(right, ["b", "salt", "fragment"])
-    partial = partial.select("a", "b", "fragment", F.size(F.array_intersect("s", "t")).cast("long").alias("overlap"))
-    total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    linked = pairs.join(total, ["a", "b"])
-    return linked.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    return partial.select("a", "b", "fragment", F.array_except("s", "t").alias("added"), F.array_except("t", "s").alias("missing"),
+                          F.size("s").cast("long").alias("size"))
+
+
+def measured(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """pairs with overlap, the sum of the fragments' overlaps."""
+    partial = parts.select("a", "b", (F.col("size") - F.size("added")).alias("overlap"))
+    return pairs.join(partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap")), ["a", "b"])
+
+
+def _linked(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
+def _around_pivots(stars: DataFrame, parts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of one pivot that are not one component yet.
+
+    stars: a, b (pivot), n_a, n_b, overlap. parts: their fragments' added and missing shingles.
+    """
+    shown = stars.select("a", "b", F.col("n_a").alias("n"), F.col("n_b").alias("n_pivot"), (F.col("n_b") - F.col("overlap")).alias("lost"))
+    shown = shown.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    several = shown.groupBy("b").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("b")
+    marks = parts.join(several, "b", "left_semi").select("a", "b", F.explode(F.concat(
+        F.transform("added", lambda x: F.struct(F.lit(1).alias("added"), x.alias("shingle"))),
+        F.transform("missing", lambda x: F.struct(F.lit(0).alias("added"), x.alias("shingle"))))).alias("d")).select("a", "b", "d.*")
+    twice = marks.groupBy("b", "added", "shingle").agg(F.count("*").alias("holders")).where("holders > 1").drop("holders")
+    marks = stored(marks.join(twice, ["b", "added", "shingle"]).join(shown, ["a", "b"]))
+    one = marks.select("b", "added", "shingle", F.col("a").alias("x"), F.col("n").alias("n_x"), F.col("lost").alias("lost_x"), F.col("component").alias("c_x"), "n_pivot")
+    two = marks.select("b", "added", "shingle", F.col("a").alias("y"), F.col("n").alias("n_y"), F.col("lost").alias("lost_y"), F.col("component").alias("c_y"))
+    alike = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+    both = one.join(two, ["b", "added", "shingle"]).where((F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & alike)
+    both = both.groupBy("b", "x", "y", "n_x", "n_y", "lost_x", "lost_y", "n_pivot").agg(F.count("*").alias("common"))
+    overlap = F.col("n_pivot") - F.col("lost_x") - F.col("lost_y") + F.col("common")
+    return both.where(_reaches(overlap, F.col("n_x"), F.col("n_y"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _reaches(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -208,51 +242,46 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def _links(texts: DataFrame, nodes: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links a < b that connect what the threshold connects."""
-    def verified(pairs: DataFrame) -> DataFrame:
+    """Confirmed links that connect what the threshold connects."""
+    def parts_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = stored(nodes.select("node", "mark", "set", "rows").join(wanted, "node", "left_semi"))
         few = wanted.count() <= BROADCAST_TEXTS
         found = texts.join(F.broadcast(wanted) if few else wanted, "mark")
         cut = stored(fragments_of(found, size))
         once = cut.where("rows = 1").unionByName(cut.where("rows > 1").dropDuplicates(["node", "fragment"]))
-        return confirmed(pairs, once.drop("rows"), percent)
-
-    empty = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b")).where(F.lit(False))
-    tested, links = empty, empty.select("a", "b")
-    apart = held.withColumn("component", F.col("node"))
-    for number in range(ROUNDS):
-        # of each shingle's nodes the pivot is first the one with fewest lone shingles, then any
-        lead = F.struct(*([(F.col("n") - F.col("most")).alias("lone")] if number == 0 else []),
-                        F.xxhash64("node", F.lit(number)).alias("draw"), F.col("node").alias("b"), F.col("n").alias("n_b"),
-                        F.col("most").alias("most_b"), F.col("component").alias("component_b"))
-        pivots = apart.groupBy("shingle").agg(F.min(lead).alias("pivot")).select("shingle", "pivot.*")
-        star = apart.select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), "component").join(
-            pivots.drop("lone", "draw"), "shingle")
-        star = star.where((F.col("component") != F.col("component_b")) & _may_link("a", "b", percent))
-        star = star.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= _must_share(percent))
-        star = star.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(
-            tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        best = star.groupBy("a").agg(F.max_by(F.struct("b", "n_a", "n_b"), F.struct("shared", F.col("b"))).alias("p"))
-        pairs = stored(best.select("a", "p.*"))
-        if pairs.isEmpty():
-            break
-        tested = stored(tested.unionByName(pairs))
-        links = stored(links.unionByName(verified(pairs)))
+        return stored(compared(pairs, once.drop("rows")))
+
+    # every node with the best of its shingles' pivots
+    lead = F.struct((F.col("n") - F.col("most")).alias("lone"), F.xxhash64("node").alias("draw"), F.col("node").alias("b"),
+                    F.col("n").alias("n_b"), F.col("most").alias("most_b"))
+    pivots = held.groupBy("shingle").agg(F.min(lead).alias("pivot")).select("shingle", "pivot.b", "pivot.n_b", "pivot.most_b")
+    star = held.select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a")).join(pivots, "shingle")
+    star = star.where((F.col("a") != F.col("b")) & _may_link("a", "b", percent))
+    star = star.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= _must_share(percent))
+    best = star.groupBy("a").agg(F.max_by(F.struct("b", "n_a", "n_b"), F.struct("shared", F.col("b"))).alias("p"))
+    pairs = stored(best.select("a", "p.*"))
+    parts = parts_of(pairs)
+    stars = stored(measured(pairs, parts))
+    links = stored(_linked(stars, percent))
+    labels = components(links)
+    near = stored(_around_pivots(stars, parts, labels, percent))
+    if not near.isEmpty():
+        links = stored(links.unionByName(near))
         labels = components(links)
-        placed = held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("k"))
-        mixed = stored(mixed.where("c0 <> c1").select("shingle", "k"))
-        apart = stored(placed.join(mixed.select("shingle"), "shingle", "left_semi"))
-        left = mixed.agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("pairs"), F.sum("k").alias("rows")).first()
-        if (left["pairs"] or 0) <= 8 * (left["rows"] or 0):
-            break
-    # what is still apart is compared all
-    one = apart.select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("component").alias("component_a"))
-    two = apart.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("component").alias("component_b"))
-    pairs = one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _may_link("a", "b", percent))
-    pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    pairs = pairs.where(F.col("shared") >= _must_share(percent)).drop("shared")
-    pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    pairs = stored(pairs)
-    return links if pairs.isEmpty() else stored(links.unionByName(verified(pairs)))
+
+    # nodes of different pivots that are still apart
+    placed = held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.join(pairs.select(F.col("a").alias("node"), F.col("b").alias("pivot")), "node", "left")
+    placed = placed.withColumn("pivot", F.coalesce("pivot", "node"))
+    mixed = placed.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("pivot").alias("p0"), F.max("pivot").alias("p1"))
+    mixed = mixed.where("c0 <> c1 and p0 <> p1").select("shingle")
+    apart = stored(placed.join(mixed, "shingle", "left_semi"))
+    one = apart.select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("component").alias("component_a"), F.col("pivot").alias("pivot_a"))
+    two = apart.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("component").alias("component_b"), F.col("pivot").alias("pivot_b"))
+    rest = one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
+                                          & (F.col("pivot_a") != F.col("pivot_b")) & _may_link("a", "b", percent))
+    rest = rest.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    rest = rest.where(F.col("shared") >= _must_share(percent)).drop("shared")
+    rest = stored(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    return links if rest.isEmpty() else stored(links.unionByName(_linked(measured(rest, parts_of(rest)), percent)))
