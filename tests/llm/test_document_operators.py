@@ -248,7 +248,32 @@ def test_exact_groups_and_collisions(spark, docs_of, edge_rows):
     for digest in (exact_dedup.sha256_of, weak):
         got = exact_dedup.dedup_folder(spark, path, digest=digest).collect()
         assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"])) for r in got) == brute_groups(rows)
-        assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) and len(r["text_sha256"]) == 64 for r in got)
+        assert all(r["doc_id"] == r["keep_id"] and len(r["text_sha256"]) == 64 for r in got if r["kept"])
+        kept = collections.Counter((r["keep_id"], r["text_sha256"]) for r in got if r["kept"])
+        assert set(kept.values()) == {1} and len(kept) == len({r["text_sha256"] for r in got})
+
+
+def test_one_row_of_a_repeated_id_is_kept(spark, docs_of):
+    path = shared_dir(spark)
+    docs_of([(1, "a b"), (1, "a  b"), (2, "ab"), (3, "c"), (3, "c")]).coalesce(1).write.parquet(path)
+    got = exact_dedup.dedup_folder(spark, path).collect()
+    assert [r["kept"] for r in got if r["group_size"] == 3].count(True) == 1
+    assert [r["kept"] for r in got if r["group_size"] == 2].count(True) == 1
+
+
+def test_exact_groups_of_text_ids(spark, docs_of):
+    path = shared_dir(spark)
+    docs_of([(10, "a b"), (9, "ab"), (7, None)]).selectExpr("concat('id', doc_id) AS doc_id", "text", "key").write.parquet(path)
+    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.dedup_folder(spark, path).collect()}
+    assert got == {"id10": ("id10", True), "id9": ("id10", False), "id7": ("id7", True)}
+
+
+def test_large_groups_are_compared_in_parts(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "GROUP_PART", 3)
+    path = shared_dir(spark)
+    docs_of([(i, "same" + " " * (i % 4)) for i in range(50)] + [(60, "other")]).write.parquet(path)
+    got = exact_dedup.dedup_folder(spark, path).collect()
+    assert sorted({(r["keep_id"], r["group_size"]) for r in got}) == [(3, 50), (60, 1)]
 
 
 def test_stream_goes_on_with_new_files(spark, docs_of):

@@ -1,11 +1,12 @@
 """Exact deduplication as a stateful stream.
 
-A streaming aggregation keyed by the text's digest keeps, in RocksDB and without expiry, one state row
-per digest: the stable identifier of the row that stays, where its content lies, and the number of
-rows. Spark sums each task's rows before they are shuffled, so a digest that a third of all rows
-share sends one row per task. New files only update the state. Every group of more than one row is then
-checked on its full bytes against the row that stays; rows that differ (a digest collision) are grouped
-by their text itself.
+The texts are normalised and hashed in one scan, which leaves a narrow table of digest, identifier and content locator
+(file and row in it). A streaming aggregation keyed by the digest reads that table and keeps, in RocksDB and without
+expiry, one state row per digest: the stable identifier of the row that stays, where its content lies, and
+the number of rows. Spark sums each task's rows before they are shuffled, so a digest that a third of all
+rows share sends one row per task. New files only update the state. For every group of more than one row the texts are
+then read again through their locators and compared in full with the text that stays, large groups in salted
+parts; rows that differ (a digest collision) are grouped by their text itself.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from yardframe.llm.components import with_value_of_key
 from yardframe.llm.tables import shared_dir, stored, text_of
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -35,23 +37,34 @@ def order_of(points: str, key: str) -> Column:
     return F.struct((-F.col(points)).alias("rank"), F.col(key).isNull().alias("no_key"), F.col(key).alias("key"))
 
 
-def update_groups(rows: DataFrame, state_dir: str, groups_dir: str, *, key: str = "doc_id", text: str = "text",
-                  locator: Column | None = None, digest=sha256_of) -> None:
-    """Feeds all rows that the stream `rows` has to offer into the keyed state, then ends.
+GROUP_PART = 256  # rows of a group that are compared with one copy of the text that stays
+
+
+def digest_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", digest=sha256_of) -> DataFrame:
+    """key, points (code points), digest, sha, file, row of every row of a table of files."""
+    rows = docs.select(F.col(key).alias("key"), F.length(text_of(text)).cast("long").alias("points"), normal_text(text).alias("normal"),
+                       F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.select("key", "points", digest(F.col("normal")).alias("digest"), sha256_of(F.col("normal")).alias("sha"), "file", "row")
+
+
+def update_groups(rows: DataFrame, state_dir: str, groups_dir: str, *, key: str = "doc_id", text: str = "text", digest=sha256_of) -> None:
+    """Feeds all documents that the stream of files `rows` has to offer into the keyed state, then ends.
 
     state_dir keeps the state and the stream's progress: calling again after new files arrived, or after a
     failure, goes on where the last call ended. groups_dir gets one folder of changed groups for each batch.
     """
-    keyed = rows.select(
-        F.col(key).alias("key"), F.length(text_of(text)).cast("long").alias("points"),
-        digest(normal_text(text)).alias("digest"), (F.lit(None).cast("string") if locator is None else locator).alias("locator"))
-    best = F.min(F.struct(order_of("points", "key").alias("order"), F.col("locator")))
+    feed(digest_rows(rows, key=key, text=text, digest=digest), state_dir, groups_dir)
+
+
+def feed(keyed: DataFrame, state_dir: str, groups_dir: str) -> None:
+    """The same for a stream of digest rows."""
+    best = F.min(F.struct(order_of("points", "key").alias("order"), F.col("file"), F.col("row")))
     groups = keyed.groupBy("digest").agg(best.alias("best"), F.count("*").alias("size"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{groups_dir}/batch={number}")
 
-    spark = rows.sparkSession
+    spark = keyed.sparkSession
     before = {name: spark.conf.get(name, None) for name in STATE_STORE}
     for name, value in STATE_STORE.items():
         spark.conf.set(name, value)
@@ -64,54 +77,60 @@ def update_groups(rows: DataFrame, state_dir: str, groups_dir: str, *, key: str
     query.awaitTermination()
 
 
-def latest_groups(spark: SparkSession, groups_dir: str) -> DataFrame:
-    """digest, size, keep (id), locator: the last state of every digest."""
-    schema = "digest string, best struct<order: struct<rank: long, no_key: boolean, key: long>, locator: string>, size long, batch int"
+def latest_groups(spark: SparkSession, groups_dir: str, key_type: str = "long") -> DataFrame:
+    """digest, size, keep (id), keep_file, keep_row: the last state of every digest."""
+    schema = (f"digest string, best struct<order: struct<rank: long, no_key: boolean, key: {key_type}>, file: string, row: long>, "
+              "size long, batch int")
     changes = spark.read.schema(schema).option("basePath", groups_dir).parquet(groups_dir)
     last = changes.groupBy("digest").agg(F.max_by(F.struct("best", "size"), "batch").alias("s"))
     return last.select("digest", F.col("s.size").alias("size"), F.col("s.best.order.key").alias("keep"),
-                       F.col("s.best.locator").alias("locator"))
+                       F.col("s.best.file").alias("keep_file"), F.col("s.best.row").alias("keep_row"))
+
+
+def _located(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """rows (file, row, ...) with the normalised text that lies there."""
+    texts = docs.select(F.col("_metadata.row_index").alias("row"), F.col("_metadata.file_path").alias("file"), F.col(text).alias("text"))
+    return texts.join(rows, ["row", "file"]).withColumn("normal", normal_text("text")).drop("text")
 
 
-def resolve(docs: DataFrame, groups: DataFrame, *, key: str = "doc_id", text: str = "text", digest=sha256_of) -> DataFrame:
-    """For each row of docs: key, keep_id, group_size, kept, text_sha256.
+def resolve(docs: DataFrame, rows: DataFrame, groups: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row of docs: key, keep_id, group_size, kept, text_sha256. rows: its stored digest rows.
 
     A null or empty text is the empty text, and so equals every text of white space only. Rows that repeat an
-    id are rows of their own; of equal rows with one id, all say kept, as nothing tells them apart.
-    An empty table gives no rows.
+    id are rows of their own; of equal rows one is kept, the first by file and place in it. Ids may be of any type
+    that sorts. An empty table gives no rows.
     """
-    normal = normal_text(text)
-    rows = docs.select(F.col(key).alias("key"), F.length(text_of(text)).cast("long").alias("points"),
-                       digest(normal).alias("digest"), sha256_of(normal).alias("sha"))
-    marked = rows.join(groups, "digest", "left")
-    hits = marked.where("size > 1").select("key", "digest", "keep").distinct()
-    texts = docs.select(F.col(key).alias("k"), normal.alias("normal"), digest(normal).alias("d"))
-    held = texts.join(hits, F.col("k").eqNullSafe(F.col("key")) & (F.col("d") == F.col("digest")))
-    held = held.select("key", "keep", "digest", "normal")
-    keepers = held.where(F.col("key").eqNullSafe(F.col("keep"))).groupBy("digest").agg(F.min("normal").alias("kept_text"))
-    differ = stored(held.join(keepers, "digest").where("normal <> kept_text").select("key", "digest", "normal").distinct())
-    if differ.isEmpty():
-        return marked.select(F.col("key").alias(key), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"),
-                             F.col("key").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"))
-    # Digests collided: within those digests the text itself is the group.
-    wrong = differ.select("digest").distinct()
-    right = marked.join(wrong, "digest", "left_anti").select("key", "keep", "size", "sha")
-    mixed = docs.select(F.col(key).alias("key"), F.length(text_of(text)).cast("long").alias("points"), normal.alias("normal"),
-                        digest(normal).alias("digest"), sha256_of(normal).alias("sha")).join(wrong, "digest", "left_semi")
-    by_text = mixed.groupBy("normal").agg(F.min(order_of("points", "key")).alias("best"), F.count("*").alias("size"))
-    split = mixed.join(by_text, "normal").select("key", F.col("best.key").alias("keep"), "size", "sha")
-    return right.unionByName(split).select(
-        F.col("key").alias(key), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"),
-        F.col("key").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"))
+    kept = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
+    marked = with_value_of_key(rows, groups.withColumn("n", F.col("size")), "digest").withColumn("kept", kept)
+    hits = marked.where("size > 1").select("row", "file", "digest", "size", "kept")
+    held = _located(docs, hits, text)
+    parts = F.ceil(F.col("size") / GROUP_PART)
+    keepers = held.where("kept").select("digest", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("normal").alias("kept_text"))
+    others = held.where(~F.col("kept")).withColumn("part", F.pmod(F.xxhash64("row", "file"), parts))
+    differ = stored(others.join(keepers, ["digest", "part"]).where("normal <> kept_text").select("digest").distinct())
+    result = marked.select("key", "keep", "size", "kept", "sha", "digest")
+    if not differ.isEmpty():
+        # Digests collided: within those digests the text itself is the group.
+        mixed = _located(docs, rows.join(differ, "digest", "left_semi"), text)
+        best = F.min(F.struct(order_of("points", "key").alias("order"), F.col("file"), F.col("row")))
+        by_text = mixed.groupBy("normal").agg(best.alias("best"), F.count("*").alias("size"))
+        split = mixed.join(by_text, "normal").select(
+            "key", F.col("best.order.key").alias("keep"), "size",
+            ((F.col("file") == F.col("best.file")) & (F.col("row") == F.col("best.row"))).alias("kept"), "sha", "digest")
+        result = result.join(differ, "digest", "left_anti").select(result.columns).unionByName(split)
+    return result.select(F.col("key").alias(key), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept",
+                         F.col("sha").alias("text_sha256"))
 
 
 def dedup_folder(spark: SparkSession, path: str, *, key: str = "doc_id", text: str = "text", bytes_per_batch: int = 1 << 36,
                  digest=sha256_of) -> DataFrame:
-    """Deduplicates the Parquet table at `path`, read as a stream in batches of at most bytes_per_batch."""
-    batch = spark.read.parquet(path)
-    named = path.rstrip("/")
-    named = f"{named[:-1]}[{named[-1]}]"  # a stream takes a single file only by a pattern
-    stream = spark.readStream.schema(batch.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(named)
+    """Deduplicates the Parquet table at `path`; its digest rows are streamed in batches of at most bytes_per_batch."""
+    docs = spark.read.parquet(path)
     folder = shared_dir(spark)
-    update_groups(stream, f"{folder}/state", f"{folder}/groups", key=key, text=text, locator=F.col("_metadata.file_path"), digest=digest)
-    return resolve(batch, latest_groups(spark, f"{folder}/groups"), key=key, text=text, digest=digest)
+    rows = digest_rows(docs, key=key, text=text, digest=digest)
+    rows.write.parquet(f"{folder}/digests")
+    rows = spark.read.schema(rows.schema).parquet(f"{folder}/digests")
+    stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(f"{folder}/digests")
+    feed(stream, f"{folder}/state", f"{folder}/groups")
+    groups = stored(latest_groups(spark, f"{folder}/groups", rows.schema["key"].dataType.simpleString()))
+    return resolve(docs, rows, groups, key=key, text=text)

@@ -12,7 +12,9 @@ are cut there, each different piece is encoded once, and its id bytes are kept f
 from __future__ import annotations
 
 import re
+import sys
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -52,14 +54,23 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _word(self, shown: str) -> bytes:
+        """Ids of one word, written in the characters that stand for its bytes."""
+        ids = array("H" if self.width == 2 else "I", [t.id for t in self.tokenizer.model.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def _piece(self, piece: str) -> bytes:
         if len(piece) > LONGEST_KEPT or any(t in piece for t in self.specials):
             return self._whole(piece)
+        letters = piece[1:] if piece[0] == " " else piece
+        if letters.isascii() and letters.isalpha():  # one word as it stands; only the space is shown otherwise
+            return self._word(letters if letters is piece else _BYTE_CHARS[32] + letters)
         cut = _WORD.findall(piece)
         for word in cut:
             if word not in self.words:
-                ids = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))
-                self.words[word] = np.array([t.id for t in ids], self.dtype).tobytes()
+                self.words[word] = self._word(word.encode().decode("latin-1").translate(_BYTE_CHARS))
         return b"".join([self.words[word] for word in cut])
 
     def encode(self, text: str) -> bytes:

@@ -10,13 +10,14 @@ shard, first id and number of ids. Looking a key up takes one displacement, one
 fingerprints. Slots of a key are tried by displacement, largest groups first, until each key has its
 own of exactly n slots.
 
-Documents are range-partitioned by key, so a task writes one shard and holds one batch; index files
-have at most KEYS_PER_FILE keys on average. Every file is written under a task's own name and renamed, so a
+Texts are encoded where they lie, and only their ids are shuffled. The encoded rows are range-partitioned by key and
+text hash into shards of about SHARD_TEXT bytes of text, so a task writes one shard and holds one batch, and a
+key of very many rows (a null one, too) spreads over several. Index files have at most KEYS_PER_FILE keys on average. Every file is written under a task's own name and renamed, so a
 task that runs again replaces it by an equal one.
 
 A null or empty text has only the end id. A null key comes last and has its own index entry. Rows that
-repeat a key are all written, ordered by their text's hash; their index entry covers the whole run, and
-the ordinal of a row counts end places (kept in the row table) apart. An empty table gives no files.
+repeat a key are all written, ordered by their text's hash; their index entry tells where the run begins and how many
+ids it has, which may go on in the next shards, and the row table has each row's own place. An empty table gives no files.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from yardframe.llm.components import with_value_of_key
 from yardframe.llm.tables import shared_dir, stored, text_of
 from yardframe.llm.token_files import encoder, file_system, read_ranges, write_whole
 from yardframe.llm.words import mix
 
 KEYS_PER_FILE = 1 << 16
+SHARD_TEXT = 1 << 25  # bytes of text whose ids make one shard
 KEYS_PER_GROUP = 4
 _SEEDS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("count", "<u8")])
@@ -125,18 +128,31 @@ class Index:
         return found
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """Writes shards, index and manifest. Returns the stored row table: key, h, shard, first (id in its shard), count."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def encoded(docs: DataFrame, vocabulary: str, *, key: str, text: str, end_id: int) -> DataFrame:
+    """key, tie (hash of the text), size (of the text in bytes), ids (bytes, with the end id) of every row."""
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, F.col("key").asc_nulls_last())
-    rows = rows.sortWithinPartitions(F.col("key").asc_nulls_last(), "tie").select("key", "text").withColumn("h", key_hash(F.col("key")))
-    rows = rows.withColumn("shard", F.spark_partition_id())
+    rows = rows.select("key", F.xxhash64("text").alias("tie"), F.octet_length("text").cast("long").alias("size"), "text")
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         end = np.array([end_id], enc.dtype).tobytes()
+        for batch in batches:
+            ids = [enc.encode(t) + end for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], ["key", "tie", "size", "ids"])
+
+    return rows.mapInArrow(run, rows.select("key", "tie", "size").schema.add("ids", "binary"))
+
+
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
+    """Writes shards, index and manifest. Returns the stored row table: key, h, shard, first (id in its shard), count."""
+    width = encoder(vocabulary).width
+    rows = stored(encoded(docs, vocabulary, key=key, text=text, end_id=end_id))
+    parts = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // SHARD_TEXT))
+    order = [F.col("key").asc_nulls_last(), F.col("tie")]
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = rows.select("key", key_hash(F.col("key")).alias("h"), F.spark_partition_id().alias("shard"), "ids")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = next((b for b in batches if b.num_rows), None)
         if head is None:
             return
@@ -145,12 +161,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, *, key: str = "d
         def ids() -> Iterator[bytes]:
             nonlocal done
             for batch in (b for source in ((head,), batches) for b in source):
-                counts = []
-                for value in batch.column("text"):
-                    raw = enc.encode(value.as_py()) + end
-                    counts.append(len(raw) // enc.width)
-                    yield raw
-                count = np.array(counts, np.int64)
+                raw = batch.column("ids").to_pylist()
+                count = np.fromiter(map(len, raw), np.int64, len(raw)) // width
+                yield b"".join(raw)
                 places.append((batch.column("key"), batch.column("h"), done + np.cumsum(count) - count, count))
                 done += int(count.sum())
 
@@ -160,6 +173,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, *, key: str = "d
                                              ["key", "h", "shard", "first", "count"])
 
     schema = rows.select("key", "h").schema.add("shard", "integer").add("first", "long").add("count", "long")
+    spark = docs.sparkSession
     placed = stored(rows.mapInArrow(write, schema))
     totals = placed.groupBy("shard").agg(F.sum("count").alias("ids"))
     before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -173,7 +187,8 @@ def index_files(n_keys: int) -> int:
 
 
 def write_index(placed: DataFrame, folder: str) -> None:
-    keys = placed.groupBy("h").agg(F.min("shard").alias("shard"), F.min("first").alias("first"), F.sum("count").alias("count"))
+    begin = F.min(F.struct("shard", "first"))
+    keys = placed.groupBy("h").agg(begin.alias("at"), F.sum("count").alias("count")).select("h", "at.shard", "at.first", "count")
     files = index_files(placed.select("h").distinct().count())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +251,14 @@ def token_documents(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", te
     placed = write_tokens(docs, folder, vocabulary, key=key, text=text, end_id=end_id)
     width = encoder(vocabulary).width
     kind = placed.schema["key"].dataType
-    found = find_tokens(placed.select("key").distinct(), folder, key="key")
-    # A key of several rows owns a run of ids; its rows' own lengths cut the run.
-    runs = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "count"))).alias("rows"))
-    cut = found.withColumnsRenamed({"first": "run_first", "count": "run_count"}).join(runs.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")))
-    cut = cut.select("key", "shard", "run_first", "run_count", F.explode("rows").alias("row"))
-    cut = cut.select("key", "shard", F.col("row.first").alias("first"), F.col("row.count").alias("count"))
+    keys = placed.groupBy("h").agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    found = find_tokens(keys, folder, key="key").select(key_hash(F.col("key")).alias("h"), F.col("shard").alias("run_shard"), F.col("first").alias("run_first"),
+                                                        F.col("count").alias("run_count"))
+    runs = stored(found.join(keys.select("h", "n", F.col("n").alias("rows")), "h"))
+    # a key of one row is read where the index says; the rows of a longer run have their own places in it
+    cut = with_value_of_key(placed, runs, "h")
+    alone = F.col("rows") == 1
+    cut = cut.select("key", *[F.when(alone, F.col(f"run_{c}")).otherwise(F.col(c)).alias(c) for c in ("shard", "first", "count")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = np.dtype(f"<u{width}")
