@@ -135,7 +135,7 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id",
                       item_text: str = "text", size: int = 13, share: int = 20) -> DataFrame:
     """docs with columns n_words, n_hit, hit_items (sorted), contaminated (n_hit > 0 and share * n_hit >= n_words).
 
-    Columns of docs of those names are replaced; all others stay.
+    Columns of docs of those names are replaced; all others stay, whatever they are called.
     """
     spark = docs.sparkSession
     windows = item_windows(items, key=item_key, text=item_text, size=size)
@@ -145,15 +145,21 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id",
     windows = stored(windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)).cast("int")))
     added = ["n_words", "n_hit", "hit_items", "contaminated"]
     kept = [c for c in docs.columns if c not in added]
-    out = docs.select(*kept, F.array().cast("array<long>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"), F.lit(0).cast("long").alias("n_words"))
+    # inside, columns of docs go by number, so that none clashes with the added ones
+    inner = {c: f"in{i}" for i, c in enumerate(kept)}
+    docs = docs.select(*[F.col(f"`{c}`").alias(inner[c]) for c in kept])
+    text = inner[text]
+    out = docs.select("*", F.array().cast("array<long>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"), F.lit(0).cast("long").alias("n_words"))
     for block in range(blocks):
         rows = windows.where(F.col("block") == block).collect()  # at most about BLOCK_WINDOWS short rows
         wanted = np.unique(np.array([x for r in rows for x in r["shingles"]], np.int64).view(np.uint64))
         lengths = sorted({min(SHINGLE, r["n"]) for r in rows})
         rarity = {r["shingle"]: r["n"] for r in shingle_counts(docs, text, wanted, lengths).collect()} if rows else {}
         out = _pass(spark, out, text, _block(rows, rarity))
+        if block + 1 < blocks:
+            out = stored(out)  # one block's windows are held at a time
     spans = F.col("hit_spans")
-    return out.select(*kept, "n_words", _covered(spans).alias("n_hit"), F.array_sort(F.array_distinct("hit_items")).alias("hit_items")).withColumn(
+    return out.select(*[F.col(inner[c]).alias(c) for c in kept], "n_words", _covered(spans).alias("n_hit"), F.array_sort(F.array_distinct("hit_items")).alias("hit_items")).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 

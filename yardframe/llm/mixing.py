@@ -191,10 +191,10 @@ def mixed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sour
     """The mix itself: rows of docs, repeated as drawn, dealt by shard and shuffled inside it. Columns as in docs."""
     rows, table = plan_mix(docs, key=key, text=text, source=source, seed=seed, **options)
     picked = with_draws(rows.select("source", "block", "row_hash").distinct(), table)
-    picked = picked.select(F.col("row_hash").alias("mix_hash"), F.explode("draws").alias("mix_shard"))
+    picked = picked.select(F.col("source").alias("mix_source"), F.col("row_hash").alias("mix_hash"), F.explode("draws").alias("mix_shard"))
     picked = picked.withColumn("mix_turn", F.xxhash64(F.lit(seed + 4), "mix_hash", "mix_shard"))
     row_hash = F.xxhash64(F.lit(seed), F.col(key).cast("string"), text_of(text))
-    inner = docs.select(F.struct(*docs.columns).alias("mix_row"), row_hash.alias("mix_hash"))
-    joined = inner.join(picked, "mix_hash")
+    inner = docs.select(F.struct(*docs.columns).alias("mix_row"), row_hash.alias("mix_hash"), F.col(source).alias("row_source"))
+    joined = inner.join(picked, "mix_hash").where(F.col("row_source").eqNullSafe(F.col("mix_source")))
     dealt = joined.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_turn")
     return dealt.select("mix_row.*")

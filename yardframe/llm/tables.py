@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a long column `name` that differs on every row and is the same whenever the rows are read.
+
+    It is made of the number of the row's file and its place in it; rows that come from no files are stored first.
+    """
+    try:
+        files = docs.select(F.col("_metadata.file_path").alias("path")).distinct().collect()  # one row a file
+    except AnalysisException:
+        docs = stored(docs)
+        files = docs.select(F.col("_metadata.file_path").alias("path")).distinct().collect()
+    places = [(path, i) for i, path in enumerate(sorted(r["path"] for r in files))]
+    table = docs.sparkSession.createDataFrame(places, "file_of_row string, number_of_file long")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("file_of_row"), F.col("_metadata.row_index").alias(name))
+    rows = rows.join(F.broadcast(table), "file_of_row")
+    return rows.select(*docs.columns, F.shiftleft("number_of_file", 40).bitwiseOR(F.col(name)).alias(name))
+
+
 def running_totals(rows: DataFrame, order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """rows with before_<value>: the sum of value over all earlier rows by `order` (nulls last).
 

@@ -164,8 +164,9 @@ def with_features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic",
-                   max_rows: int = 20_000, lexicon_size: int = 1_000, rounds: int = 20) -> DataFrame:
-    """key, held_out, score, predicted for every row of docs. Repeated rows are each scored.
+                   max_rows: int = 20_000, lexicon_size: int = 1_000, rounds: int = 20, row: str | None = None) -> DataFrame:
+    """key, held_out, score, predicted for every row of docs. Repeated rows are each scored; `row` names a column that
+    tells rows apart, which then comes first.
 
     labels may hold any further columns; rows whose label is null are not used, and an id with several labels
     counts as toxic if one of them is.
@@ -175,13 +176,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     known = known.groupBy("key").agg(F.max("label").alias("label")).withColumn("fold", remainder.cast("int")).where("fold > 0")
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(max_rows)
     texts = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    train = stored(texts.join(F.broadcast(chosen), "key"))  # at most max_rows ids
+    # at most max_rows ids; of rows that repeat an id one text is learnt from
+    train = stored(texts.join(F.broadcast(chosen), "key").groupBy("key", "label", "fold").agg(F.min("text").alias("text")))
     counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     held = F.coalesce(remainder, F.lit(0)) == 0
+    named = [F.col("key").alias(key)] if row is None else [F.col("key.row").alias(row), F.col("key.key").alias(key)]
+    if row is not None:
+        texts = docs.select(F.struct(F.col(row).alias("row"), F.col(key).alias("key")).alias("key"), text_of(text).alias("text"))
+        held = F.coalesce(F.crc32(F.col("key.key").cast("string").cast("binary")) % 5, F.lit(0)) == 0
     everything = texts.withColumn("fold", F.lit(0)).withColumn("label", F.lit(None).cast("int"))
     if min(counts.get(0, 0), counts.get(1, 0)) < 2:
         share = counts.get(1, 0) / max(1, sum(counts.values()))
-        return texts.select(F.col("key").alias(key), held.alias("held_out"), F.lit(share).alias("score"),
+        return texts.select(*named, held.alias("held_out"), F.lit(share).alias("score"),
                             F.lit(int(share >= 0.5)).alias("predicted"))
     lexicon = learn_lexicon(train, size=lexicon_size)
     vectors = stored(with_features(train, lexicon).withColumn("v", array_to_vector("features"))
@@ -199,5 +205,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     scored = trees.transform(with_features(everything, lexicon).withColumn("v", array_to_vector("features"))).select("key", margin)
     # Isotonic levels are steps; a thousandth of the margin keeps the order inside a step.
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.999 * F.col("level") + 0.001 * F.col("margin")))
-    out = level.transform(scored).select(F.col("key").alias(key), held.alias("held_out"), score.alias("score"))
+    out = level.transform(scored).select(*named, held.alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
