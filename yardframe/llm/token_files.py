@@ -31,6 +31,7 @@ _PIECE = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 _WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _SHOWN = (*range(33, 127), *range(161, 173), *range(174, 256))
 _BYTE_CHARS = dict(zip(sorted(set(range(256)) - {*_SHOWN}), map(chr, range(256, 324)), strict=True))
+_SHOWN_SPACE = _BYTE_CHARS[32]
 
 KEPT_PIECES = 900_000
 LONGEST_KEPT = 64
@@ -62,11 +63,6 @@ class Encoder:
         return ids.tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if len(piece) > LONGEST_KEPT or any(t in piece for t in self.specials):
-            return self._whole(piece)
-        letters = piece[1:] if piece[0] == " " else piece
-        if letters.isascii() and letters.isalpha():  # one word as it stands; only the space is shown otherwise
-            return self._word(letters if letters is piece else _BYTE_CHARS[32] + letters)
         cut = _WORD.findall(piece)
         for word in cut:
             if word not in self.words:
@@ -74,19 +70,27 @@ class Encoder:
         return b"".join([self.words[word] for word in cut])
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece:
+        if not self.by_piece or any(t in text for t in self.specials):
             return self._whole(text)
-        if len(self.pieces) > KEPT_PIECES:
-            self.pieces.clear()
+        pieces = self.pieces
+        if len(pieces) > KEPT_PIECES:
+            pieces.clear()
             self.words.clear()
         cut = _PIECE.findall(text)
-        new = set(cut).difference(self.pieces)
-        for p in new:
-            self.pieces[p] = self._piece(p)
-        ids = b"".join(map(self.pieces.__getitem__, cut))
-        for p in new:
+        long = []
+        for p in set(cut).difference(pieces):
             if len(p) > LONGEST_KEPT:
-                del self.pieces[p]
+                pieces[p] = self._whole(p)
+                long.append(p)
+                continue
+            letters = p[1:] if p[0] == " " else p
+            if letters.isascii() and letters.isalpha():  # one word as it stands; only the space is shown otherwise
+                pieces[p] = self._word(p if letters is p else _SHOWN_SPACE + letters)
+            else:
+                pieces[p] = self._piece(p)
+        ids = b"".join(map(pieces.__getitem__, cut))
+        for p in long:
+            del pieces[p]
         return ids
 
 

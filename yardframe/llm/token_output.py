@@ -10,9 +10,9 @@ shard, first id and number of ids. Looking a key up takes one displacement, one
 fingerprints. Slots of a key are tried by displacement, largest groups first, until each key has its
 own of exactly n slots.
 
-Texts are encoded where they lie, and only their ids are shuffled. The encoded rows are range-partitioned by key and
-text hash into shards of about SHARD_TEXT bytes of text, so a task writes one shard and holds one batch, and a
-key of very many rows (a null one, too) spreads over several. Index files have at most KEYS_PER_FILE keys on average. Every file is written under a task's own name and renamed, so a
+Documents are range-partitioned by key and text hash into shards of about SHARD_TEXT bytes of text, so a task encodes and
+writes one shard and holds one batch, and a key of very many rows (a null one, too) spreads over several. Index
+files have at most KEYS_PER_FILE keys on average. Every file is written under a task's own name and renamed, so a
 task that runs again replaces it by an equal one.
 
 A null or empty text has only the end id. A null key comes last and has its own index entry. Rows that
@@ -128,31 +128,17 @@ class Index:
         return found
 
 
-def encoded(docs: DataFrame, vocabulary: str, *, key: str, text: str, end_id: int) -> DataFrame:
-    """key, tie (hash of the text), size (of the text in bytes), ids (bytes, with the end id) of every row."""
-    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    rows = rows.select("key", F.xxhash64("text").alias("tie"), F.octet_length("text").cast("long").alias("size"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            ids = [enc.encode(t) + end for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], ["key", "tie", "size", "ids"])
-
-    return rows.mapInArrow(run, rows.select("key", "tie", "size").schema.add("ids", "binary"))
-
-
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
     """Writes shards, index and manifest. Returns the stored row table: key, h, shard, first (id in its shard), count."""
-    width = encoder(vocabulary).width
-    rows = stored(encoded(docs, vocabulary, key=key, text=text, end_id=end_id))
-    parts = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // SHARD_TEXT))
+    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
+    parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_TEXT))
     order = [F.col("key").asc_nulls_last(), F.col("tie")]
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows = rows.select("key", key_hash(F.col("key")).alias("h"), F.spark_partition_id().alias("shard"), "ids")
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = rows.select("key", key_hash(F.col("key")).alias("h"), F.spark_partition_id().alias("shard"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        end = np.array([end_id], enc.dtype).tobytes()
         head = next((b for b in batches if b.num_rows), None)
         if head is None:
             return
@@ -161,9 +147,12 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, *, key: str = "d
         def ids() -> Iterator[bytes]:
             nonlocal done
             for batch in (b for source in ((head,), batches) for b in source):
-                raw = batch.column("ids").to_pylist()
-                count = np.fromiter(map(len, raw), np.int64, len(raw)) // width
-                yield b"".join(raw)
+                counts = []
+                for value in batch.column("text"):
+                    raw = enc.encode(value.as_py()) + end
+                    counts.append(len(raw) // enc.width)
+                    yield raw
+                count = np.array(counts, np.int64)
                 places.append((batch.column("key"), batch.column("h"), done + np.cumsum(count) - count, count))
                 done += int(count.sum())
 
