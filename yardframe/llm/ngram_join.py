@@ -35,7 +35,8 @@ from yardframe.llm.tables import stored, text_of
 from yardframe.llm.words import SPACED_LOWER, gram_hashes, mix, pieces, split_words
 
 FREQUENT = 1 << 20  # shingles whose counts are known to all tasks: 16 MB
-SEEN_FROM = 2
+SEEN_FROM = 2  # times among COUNTED_AT_ONCE shingles
+COUNTED_AT_ONCE = 1 << 22  # 32 MB of shingles of whole texts
 SHARED = 3
 FRAGMENTS = 8
 BROADCAST_TEXTS = 1 << 20  # text numbers: 16 MB; beyond, texts are joined by shuffle
@@ -58,12 +59,21 @@ def set_number(s: np.ndarray) -> bytes:
 
 def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, FREQUENT at most, sorted, and their counts. A count is taken whole or not at all."""
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+        some = n >= SEEN_FROM
+        return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["shingle", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for batch in batches:
-            sets = list(shingle_sets(batch.column("text").to_pylist(), size))
-            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            some = n >= SEEN_FROM
-            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["shingle", "n"])
+            for s in shingle_sets(batch.column("text").to_pylist(), size):
+                held.append(s)
+                total += len(s)
+                if total > COUNTED_AT_ONCE:
+                    yield counted(held)
+                    held, total = [], 0
+        yield counted(held)
 
     counts = stored(texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2"))
     least = _least_count(counts)
