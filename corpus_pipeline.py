@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from yardframe.llm import decontamination, mixing, ngram_join, token_output, toxicity
 from yardframe.llm.queries import vocabulary
-from yardframe.llm.tables import numbered, stored, table
+from yardframe.llm.tables import bounded_batches, numbered, stored, table
 
 ROW = "row_of_stage"
 
@@ -78,6 +78,7 @@ ORACLE_SQL = None  # the toxicity model and the hash-driven mix have no SQL; tes
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
