@@ -36,7 +36,7 @@ from yardframe.llm.words import SPACED_LOWER, gram_hashes, mix, pieces, split_wo
 
 FREQUENT = 1 << 20  # shingles whose counts are known to all tasks: 16 MB
 SEEN_FROM = 2  # times among COUNTED_AT_ONCE shingles
-COUNTED_AT_ONCE = 1 << 22  # 32 MB of shingles of whole texts
+COUNTED_AT_ONCE = 1 << 21  # 16 MB of shingles of whole texts
 SHARED = 3
 FRAGMENTS = 8
 BROADCAST_TEXTS = 1 << 20  # text numbers: 16 MB; beyond, texts are joined by shuffle
@@ -196,11 +196,17 @@ def _around_pivots(stars: DataFrame, parts: DataFrame, labels: DataFrame, percen
         F.transform("added", lambda x: F.struct(F.lit(1).alias("added"), x.alias("shingle"))),
         F.transform("missing", lambda x: F.struct(F.lit(0).alias("added"), x.alias("shingle"))))).alias("d")).select("a", "b", "d.*")
     twice = marks.groupBy("b", "added", "shingle").agg(F.count("*").alias("holders")).where("holders > 1").drop("holders")
-    marks = stored(marks.join(twice, ["b", "added", "shingle"]).join(shown, ["a", "b"]))
-    one = marks.select("b", "added", "shingle", F.col("a").alias("x"), F.col("n").alias("n_x"), F.col("lost").alias("lost_x"), F.col("component").alias("c_x"), "n_pivot")
-    two = marks.select("b", "added", "shingle", F.col("a").alias("y"), F.col("n").alias("n_y"), F.col("lost").alias("lost_y"), F.col("component").alias("c_y"))
-    alike = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    both = one.join(two, ["b", "added", "shingle"]).where((F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & alike)
+    marks = stored(marks.join(twice, ["b", "added", "shingle"]))
+    # shared added shingles are at most those that others of the pivot add as well
+    extra = marks.groupBy("a", "b").agg(F.count_if(F.col("added") == 1).alias("extra"))
+    marks = stored(marks.join(shown.join(extra, ["a", "b"]), ["a", "b"]))
+    one = marks.select("b", "added", "shingle", F.col("a").alias("x"), F.col("n").alias("n_x"), F.col("lost").alias("lost_x"), F.col("extra").alias("extra_x"),
+                       F.col("component").alias("c_x"), "n_pivot")
+    two = marks.select("b", "added", "shingle", F.col("a").alias("y"), F.col("n").alias("n_y"), F.col("lost").alias("lost_y"), F.col("extra").alias("extra_y"),
+                       F.col("component").alias("c_y"))
+    most = F.col("n_pivot") - F.greatest("lost_x", "lost_y") + F.least("extra_x", "extra_y")
+    room = _reaches(F.least(most, F.col("n_x"), F.col("n_y")), F.col("n_x"), F.col("n_y"), percent)
+    both = one.join(two, ["b", "added", "shingle"]).where((F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & room)
     both = both.groupBy("b", "x", "y", "n_x", "n_y", "lost_x", "lost_y", "n_pivot").agg(F.count("*").alias("common"))
     overlap = F.col("n_pivot") - F.col("lost_x") - F.col("lost_y") + F.col("common")
     return both.where(_reaches(overlap, F.col("n_x"), F.col("n_y"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))

@@ -33,7 +33,7 @@ _SHOWN = (*range(33, 127), *range(161, 173), *range(174, 256))
 _BYTE_CHARS = dict(zip(sorted(set(range(256)) - {*_SHOWN}), map(chr, range(256, 324)), strict=True))
 _SHOWN_SPACE = _BYTE_CHARS[32]
 
-KEPT_PIECES = 900_000
+KEPT_PIECES, KEPT_WORDS = 650_000, 100_000  # about 150 MB
 LONGEST_KEPT = 64
 
 
@@ -75,6 +75,7 @@ class Encoder:
         pieces = self.pieces
         if len(pieces) > KEPT_PIECES:
             pieces.clear()
+        if len(self.words) > KEPT_WORDS:
             self.words.clear()
         cut = _PIECE.findall(text)
         long = []
