@@ -30,7 +30,8 @@ def keep_decent(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = free_name(ROW, docs.columns)
     rows = numbered(docs, row)
     scored = toxicity.score_toxicity(rows, table(spark, sf_dir, "labels"), row=row)
-    return rows.join(scored.where("predicted = 1").select(row), row, "left_anti").select(*docs.columns)
+    toxic = stored(scored.where("predicted = 1").select(row))  # scored before the texts are read again
+    return rows.join(toxic, row, "left_anti").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     groups = found.select(F.col(row).alias("row"), F.col("component_id").alias("group")).join(ids, "row")
-    first = groups.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
+    first = stored(groups.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row)))
     return rows.join(first, row, "left_semi").select(*docs.columns)
 
 
