@@ -69,6 +69,11 @@ class Encoder:
                 self.words[word] = self._word(word.encode().decode("latin-1").translate(_BYTE_CHARS))
         return b"".join([self.words[word] for word in cut])
 
+    def forget(self) -> None:
+        """Gives the memory of the pieces back; a worker goes on to other work when its task ends."""
+        self.pieces.clear()
+        self.words.clear()
+
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(t in text for t in self.specials):
             return self._whole(text)
@@ -99,7 +104,7 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, plain_specials: bool = False) -> Encoder:
-    """One encoder for each Python worker, so that tasks that follow one another share its pieces."""
+    """One encoder for each Python worker; tasks that follow one another share the vocabulary."""
     if (path, plain_specials) not in _ENCODERS:
         _ENCODERS[path, plain_specials] = Encoder(path, plain_specials)
     return _ENCODERS[path, plain_specials]

@@ -37,7 +37,7 @@ from yardframe.llm.token_files import encoder, file_system, read_ranges, write_w
 from yardframe.llm.words import mix
 
 KEYS_PER_FILE = 1 << 16
-SHARD_TEXT = 1 << 25  # bytes of text whose ids make one shard
+SHARD_TEXT = 1 << 26  # bytes of text whose ids make one shard
 KEYS_PER_GROUP = 4
 _SEEDS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("count", "<u8")])
@@ -157,6 +157,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, *, key: str = "d
                 done += int(count.sum())
 
         write_whole(f"{folder}/shards/{shard:06d}.ids", ids())
+        enc.forget()
         for keys, h, first, count in places:
             yield pa.RecordBatch.from_arrays([keys, h, pa.array(np.full(len(count), shard, np.int32)), pa.array(first), pa.array(count)],
                                              ["key", "h", "shard", "first", "count"])
