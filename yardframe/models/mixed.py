@@ -327,6 +327,7 @@ def _spread_block(rows: DataFrame) -> _Block:
 
 ROUNDS = 200
 _LOWEST, _HIGHEST = -40.0, 40.0
+_STILL = 1e-8  # a shorter step ends the search: the gradient alone says little where the deviance is flat
 
 
 @dataclass(frozen=True)
@@ -370,11 +371,9 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndar
     hessian, radius = np.eye(len(x)) * max(1.0, float(np.abs(gradient).max(initial=0.0))), 1.0
     for done in range(rounds):
         size = float(np.abs(gradient).max(initial=0.0))
-        if size <= tolerance:
-            return Minimum(x, value, True, done)
         moved = np.clip(x + _bounded_step(hessian, gradient, radius), _LOWEST, _HIGHEST)
         step = moved - x
-        if np.linalg.norm(step) < 1e-12:
+        if size <= 1e-13 or np.linalg.norm(step) <= (_STILL if size <= tolerance else 1e-12):
             return Minimum(x, value, True, done)
         new_value, new_gradient = f(moved)
         expected = -float(gradient @ step + 0.5 * step @ hessian @ step)
