@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, size: int = 1 << 22) -> None:
+def bounded_batches(spark: SparkSession, size: int = 1 << 20) -> None:
     """Arrow batches of `size` bytes at most (one row at least), unless the session says otherwise; rows of long texts
     would else make batches of any size."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
