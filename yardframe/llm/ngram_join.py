@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardframe.llm.components import components, with_value_of_key
-from yardframe.llm.tables import stored, text_of
+from yardframe.llm.tables import stored, text_of, trimmed
 from yardframe.llm.words import SPACED_LOWER, gram_hashes, mix, pieces, split_words
 
 FREQUENT = 1 << 20  # shingles whose counts are known to all tasks: 16 MB
 SEEN_FROM = 2  # times among COUNTED_AT_ONCE shingles
-COUNTED_AT_ONCE = 1 << 21  # 16 MB of shingles of whole texts
+COUNTED_AT_ONCE = 1 << 20  # 8 MB of shingles of whole texts
 SHARED = 3
 FRAGMENTS = 8
 BROADCAST_TEXTS = 1 << 20  # text numbers: 16 MB; beyond, texts are joined by shuffle
@@ -75,7 +75,7 @@ def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarr
                     held, total = [], 0
         yield counted(held)
 
-    counts = stored(texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2"))
+    counts = stored(texts.select("text").mapInArrow(trimmed(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2"))
     least = _least_count(counts)
     rows = counts.where(F.col("n") >= least).toArrow()
     h, n = rows.column("shingle").to_numpy().view(np.uint64), rows.column("n").to_numpy()
@@ -127,7 +127,7 @@ def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 ["key", "mark", "set", "n", "prefix"])
 
     kind = texts.schema["key"].dataType.simpleString()
-    return texts.select("key", "mark", "text").mapInArrow(run, f"key {kind}, mark long, set binary, n long, prefix array<long>")
+    return texts.select("key", "mark", "text").mapInArrow(trimmed(run), f"key {kind}, mark long, set binary, n long, prefix array<long>")
 
 
 def fragments_of(texts: DataFrame, size: int) -> DataFrame:
@@ -155,7 +155,7 @@ def fragments_of(texts: DataFrame, size: int) -> DataFrame:
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()),
                  pa.array([x[3] for x in out], pa.list_(pa.int64()))], ["node", "rows", "fragment", "shingles"])
 
-    return texts.select("text", "set", "node", "rows").mapInArrow(run, "node long, rows long, fragment int, shingles array<long>")
+    return texts.select("text", "set", "node", "rows").mapInArrow(trimmed(run), "node long, rows long, fragment int, shingles array<long>")
 
 
 def compared(pairs: DataFrame, fragments: DataFrame) -> DataFrame:

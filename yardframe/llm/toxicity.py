@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from yardframe.llm.tables import stored, text_of
+from yardframe.llm.tables import stored, text_of, trimmed
 
 # Common English insults, and words that address the reader.
 INSULTS = ("clown", "creep", "disgusting", "dumb", "filth", "fool", "garbage", "idiot", "imbecile", "jerk",
@@ -40,6 +40,7 @@ YOU = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein
 LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 
 FOLDS = 4
+TERMS_AT_ONCE = 60_000  # distinct terms that a task counts before it hands the counts on
 FEATURES = ("hits_per_100", "weight_per_100", "kinds", "strongest", "insults_per_100", "insults", "you_per_100", "you_near_hit",
             "capitals", "shouted", "exclaims", "punctuation", "disguised", "log_words", "hits")
 _SPLIT = re.compile(r"[^\W_]+")
@@ -92,16 +93,16 @@ def learn_lexicon(train: DataFrame, *, size: int, least: float = 2.0) -> Lexicon
         for batch in batches:
             for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
                 held.update((t, fold, label) for t in terms_of(text))
-                if len(held) > 400_000:
+                if len(held) > TERMS_AT_ONCE:
                     yield flush()
         yield flush()
 
     rows = train.groupBy("label", "fold").count().collect()
     totals = {(r["label"], r["fold"]): r["count"] for r in rows}
     # Only toxic rows name terms; clean rows are counted for those.
-    named = train.where("label = 1").select("text", "label", "fold").mapInArrow(count, "term string, fold int, label int, n long")
+    named = train.where("label = 1").select("text", "label", "fold").mapInArrow(trimmed(count), "term string, fold int, label int, n long")
     named = named.groupBy("term").agg(F.sum("n").alias("n")).where("n >= 2").select("term")
-    counted = train.select("text", "label", "fold").mapInArrow(count, "term string, fold int, label int, n long")
+    counted = train.select("text", "label", "fold").mapInArrow(trimmed(count), "term string, fold int, label int, n long")
     by = [F.sum(F.when((F.col("fold") == f) & (F.col("label") == y), F.col("n")).otherwise(0)).alias(f"n{y}_{f}")
           for y in (0, 1) for f in range(1, FOLDS + 1)]
     counts = counted.join(named, "term", "left_semi").groupBy("term").agg(*by)
@@ -160,7 +161,7 @@ def with_features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(vectors, pa.list_(pa.float64()))], ["key", "fold", "label", "features"])
 
     schema = rows.select("key", "fold", "label").schema.add("features", ArrayType(DoubleType()))
-    return rows.select("key", "text", "fold", "label").mapInArrow(run, schema)
+    return rows.select("key", "text", "fold", "label").mapInArrow(trimmed(run), schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic",
