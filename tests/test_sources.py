@@ -4,7 +4,7 @@ import pytest
 
 from yardframe.schemas import PLAYS, ROSTERS, check
 from yardframe.sources import testdata
-from yardframe.sources.tables import append_new_games, in_seasons, scan_plays, scan_rosters
+from yardframe.sources.tables import STAGED, append_new_games, in_seasons, scan_plays, scan_rosters
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -52,3 +52,41 @@ def test_schema_check_names_the_column(spark, plays):
     assert check(plays, PLAYS) is plays
     with pytest.raises(ValueError, match="gsis_id: expected string, found nothing"):
         check(testdata.rosters(spark, FOLDER).drop("gsis_id"), ROSTERS)
+
+
+def _write_staged(rows, path):
+    rows.write.mode("overwrite").partitionBy("season").parquet(f"{path}/{STAGED}")
+
+
+def test_refresh_that_fails_while_writing_leaves_no_rows(spark, plays, tmp_path):
+    path = str(tmp_path / "store")
+    append_new_games(plays.filter("substr(game_id, 1, 4) <= '1997'"), path)
+    before = scan_plays(spark, path).count()
+    _write_staged(plays.filter("substr(game_id, 1, 4) > '1997'").limit(5), path)
+    (tmp_path / "store" / STAGED / "_SUCCESS").unlink()  # as if the run had ended before its last file
+    assert scan_plays(spark, path).count() == before
+    append_new_games(plays, path)
+    assert scan_plays(spark, path).count() == plays.count()
+    assert not (tmp_path / "store" / STAGED).exists()
+
+
+def test_refresh_that_fails_while_files_move_is_completed(spark, plays, tmp_path):
+    store = tmp_path / "store"
+    append_new_games(plays.filter("substr(game_id, 1, 4) <= '1997'"), str(store))
+    _write_staged(plays.filter("substr(game_id, 1, 4) > '1997'").repartition(4), str(store))
+    for file in sorted((store / STAGED).glob("season=*/*.parquet"))[::2]:  # half of the files have moved, games are cut
+        (store / file.parent.name).mkdir(exist_ok=True)
+        file.rename(store / file.parent.name / file.name)
+    assert scan_plays(spark, str(store)).count() < plays.count()
+    append_new_games(plays, str(store))
+    assert scan_plays(spark, str(store)).count() == plays.count()
+    append_new_games(plays, str(store))
+    assert scan_plays(spark, str(store)).count() == plays.count()
+
+
+def test_refresh_of_nothing(spark, plays, tmp_path):
+    path = str(tmp_path / "store")
+    append_new_games(plays.limit(0), path)
+    assert scan_plays(spark, path).count() == 0
+    append_new_games(plays, path)
+    assert scan_plays(spark, path).count() == plays.count()
