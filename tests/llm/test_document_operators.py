@@ -167,6 +167,30 @@ def test_backoff_scores(docs_of, edge_rows):
     assert lm_scoring.score_documents(docs_of([])).count() == 0
 
 
+def test_counts_travel_in_blocks_and_come_back_without_the_ngrams(spark):
+    rows = [(i % 4, prose(i, 40, 30) + " often" * (i % 4) * 60) for i in range(40)]
+    blocks = lm_scoring.count_ngrams(spark.createDataFrame(rows, "chunk int, text string").repartition(2, "chunk"), 3)
+    found = {(r["chunk"], r["part"]): r["grams"] for r in blocks.collect()}
+    back = {(r["chunk"], r["part"]): r for r in lm_scoring.total_counts(blocks).collect()}
+    assert set(back) == set(found) and len(found) == 4 * 3
+    one = collections.Counter()
+    for _, text in rows:
+        words, pairs, _ = lm_scoring._grams([text])
+        one.update(words.view("i8").tolist() + pairs[pairs != 0].view("i8").tolist())
+    assert set(one) == {g for grams in found.values() for g in grams}
+    for block, grams in found.items():
+        large = iter(back[block]["total_large"])
+        assert [b if b < lm_scoring.LARGE else next(large) for b in back[block]["total"]] == [one[g] for g in grams]
+    assert max(one.values()) > lm_scoring.LARGE
+
+
+def test_texts_are_shuffled_once_for_counts_and_scores(docs_of):
+    scores = lm_scoring.score_documents(docs_of([(i, prose(i, 50, 30)) for i in range(40)]), chunk_chars=900)
+    assert len(scores.collect()) == 40
+    final = scores._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("ReusedExchange") == 1
+
+
 # decontamination
 
 def test_hits_equal_all_windows(spark, docs_of, edge_rows, monkeypatch):
