@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -8,7 +9,7 @@ from tokenizers import Tokenizer
 
 from yardframe.llm import token_counts, token_output
 from yardframe.llm.tables import running_totals, shared_dir
-from yardframe.llm.token_files import Encoder
+from yardframe.llm.token_files import SPACE_CODES, Encoder
 from yardframe.llm.words import ALNUM_LOWER, SPACED, gram_hashes, pieces, split_words, window_hashes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,6 +54,32 @@ def test_encoder_equals_the_library(plain):
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_odd_texts_are_cut_as_the_library_cuts_them():
+    library, own = Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY)
+    r = random.Random(5)
+    texts = [f"{a}{b}{c}" for a in ("x", " ", "'") for b in map(chr, range(128)) for c in ("x1", " y", "'s")]
+    texts += [f"w{b}{c}{d} v" for b in "a\u00e9\u4f603'." for c in map(chr, [*range(0x2000, 0x2070), *SPACE_CODES, 0xD7, 0x301, 0x24F, 0x250]) for d in ("", "a", " ")]
+    texts += ["".join(r.choices("ab Z09\u00e9\u00a0\u4f60'.,\n\t \x0b\x1c\x00_dlmrstv", k=r.randrange(1, 40))) for _ in range(3000)] + ["it's " + "long" * 40 + ", x"]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_before_other_marks_are_not_encoded_again(monkeypatch):
+    own, words, encoded = Encoder(VOCABULARY), [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou\u00e9" for c in "lmnrt"], []
+    word = own._word
+    monkeypatch.setattr(own, "_word", lambda shown: encoded.append(shown) or word(shown))
+    for mark in ("", ".", ",", "!", ".\n"):
+        own.encode("so " + " ".join(w + mark + "A" * (mark == ".\n") for w in words))
+    assert len(encoded) == len(set(encoded)) <= 1 + len(words) + 6
+
+
+def test_white_space_before_a_space_is_not_cut():
+    library, own = Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY)
+    for text in ("a  b", "a b ", " a b", "a\n b c", "a b\n ", "a \n b", "a \nb c", "a b\u00a0 c", "a b   c", "a b\n\n c", " ", "  ", "a " + "x" * 99 + " " + "x" * 99):
+        for _ in range(2):
+            assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_other_tokenizers_take_the_plain_way():
     path = public_tokenizers.path("word_bpe_49k.json")
     own, library = Encoder(path), Tokenizer.from_file(path)

@@ -7,6 +7,10 @@ task's own name, then renamed, so a repeated task leaves one whole file.
 Encoding gives exactly the ids of `Tokenizer.encode(text, add_special_tokens=False)`. A byte-level BPE splits
 a text by a pattern of which no piece runs from a character that is no white space into white space. Texts
 are cut there, each different piece is encoded once, and its id bytes are kept for later texts.
+
+Most texts have single spaces between words. They are cut at spaces alone, and what stands behind a space is the key of
+its ids. A piece of the pattern neither runs from a letter or digit into another ASCII character than an apostrophe, so a
+word with a comma behind it, say, takes the ids of the word and of the comma.
 """
 
 from __future__ import annotations
@@ -27,13 +31,16 @@ from tokenizers.pre_tokenizers import ByteLevel
 SPACE_CODES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _SPACES = "".join(map(chr, SPACE_CODES))
 _PIECE = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
+# Letters of ASCII and Latin, and ASCII's marks but for the apostrophe.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+_HEAD = re.compile(f"[0-9{_LETTERS}]++(?=[{_SPACES}{_MARKS}])")
 # The byte-level splitting pattern, and the bytes it shows as other characters.
 _WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _SHOWN = (*range(33, 127), *range(161, 173), *range(174, 256))
 _BYTE_CHARS = dict(zip(sorted(set(range(256)) - {*_SHOWN}), map(chr, range(256, 324)), strict=True))
 _SHOWN_SPACE = _BYTE_CHARS[32]
 
-KEPT_PIECES, KEPT_WORDS = 650_000, 100_000  # about 150 MB
+KEPT_PIECES, KEPT_WORDS = 750_000, 100_000  # about 150 MB
 LONGEST_KEPT = 64
 
 
@@ -51,6 +58,7 @@ class Encoder:
             and not level.add_prefix_space and level.use_regex and not any(re.search(f"[{_SPACES}]", t) for t in self.specials)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # of a space and the key
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -69,19 +77,52 @@ class Encoder:
                 self.words[word] = self._word(word.encode().decode("latin-1").translate(_BYTE_CHARS))
         return b"".join([self.words[word] for word in cut])
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a space and a part that is neither empty nor long. Words are kept, what stands behind one is looked up again."""
+        if head := _HEAD.match(part):
+            word, rest = head[0], part[head.end():]
+            return (self.parts.get(word) or self._part(word)) + (self.words.get(rest) or self._piece(rest))
+        if part.isascii() and part.isalpha():  # one word as it stands; only the space is shown otherwise
+            ids = self._word(_SHOWN_SPACE + part)
+        else:
+            ids = self._piece(" " + part)
+        self.parts[part] = ids
+        return ids
+
     def forget(self) -> None:
         """Gives the memory of the pieces back; a worker goes on to other work when its task ends."""
         self.pieces.clear()
         self.words.clear()
+        self.parts.clear()
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(t in text for t in self.specials):
             return self._whole(text)
-        pieces = self.pieces
-        if len(pieces) > KEPT_PIECES:
-            pieces.clear()
+        if len(self.pieces) + len(self.parts) > KEPT_PIECES:
+            self.pieces.clear()
+            self.parts.clear()
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
+        cut = text.split(" ")
+        if len(cut) == 1 or not cut[0] or cut[0][-1] in _SPACES:
+            return self._by_pieces(text)
+        ids = list(map(self.parts.get, cut))
+        ids[0] = self._by_pieces(cut[0])
+        long: dict[str, bytes] = {}
+        for i in [i for i, known in enumerate(ids) if known is None]:
+            p = cut[i]
+            if not p or p[-1] in _SPACES:  # no cut: white space stands before the next space
+                return self._by_pieces(text)
+            if len(p) <= LONGEST_KEPT:
+                ids[i] = self.parts.get(p) or self._part(p)
+            else:
+                if p not in long:
+                    long[p] = self._whole(" " + p)
+                ids[i] = long[p]
+        return b"".join(ids)
+
+    def _by_pieces(self, text: str) -> bytes:
+        pieces = self.pieces
         cut = _PIECE.findall(text)
         long = []
         for p in set(cut).difference(pieces):
