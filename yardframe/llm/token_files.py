@@ -34,6 +34,7 @@ _PIECE = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 # Letters of ASCII and Latin, and ASCII's marks but for the apostrophe.
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
 _HEAD = re.compile(f"[0-9{_LETTERS}]++(?=[{_SPACES}{_MARKS}])")
+_LATIN = re.compile(f"[{_LETTERS}]+")
 # The byte-level splitting pattern, and the bytes it shows as other characters.
 _WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _SHOWN = (*range(33, 127), *range(161, 173), *range(174, 256))
@@ -59,6 +60,7 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}  # of a space and the key
+        self.marked: dict[str, bytes] = {}  # the same, where marks stand behind a word
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -78,12 +80,16 @@ class Encoder:
         return b"".join([self.words[word] for word in cut])
 
     def _part(self, part: str) -> bytes:
-        """Ids of a space and a part that is neither empty nor long. Words are kept, what stands behind one is looked up again."""
-        if head := _HEAD.match(part):
+        """Ids of a space and a part that is neither empty nor long. Words are kept, with marks behind them for a while."""
+        if part.isalpha() and (part.isascii() or _LATIN.fullmatch(part)):  # one word
+            ids = self._word(_SHOWN_SPACE + (part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)))
+        elif head := _HEAD.match(part):
             word, rest = head[0], part[head.end():]
-            return (self.parts.get(word) or self._part(word)) + (self.words.get(rest) or self._piece(rest))
-        if part.isascii() and part.isalpha():  # one word as it stands; only the space is shown otherwise
-            ids = self._word(_SHOWN_SPACE + part)
+            ids = (self.parts.get(word) or self._part(word)) + (self.words.get(rest) or self._piece(rest))
+            if len(self.marked) > KEPT_WORDS:
+                self.marked.clear()
+            self.marked[part] = ids
+            return ids
         else:
             ids = self._piece(" " + part)
         self.parts[part] = ids
@@ -94,6 +100,7 @@ class Encoder:
         self.pieces.clear()
         self.words.clear()
         self.parts.clear()
+        self.marked.clear()
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(t in text for t in self.specials):
@@ -114,7 +121,7 @@ class Encoder:
             if not p or p[-1] in _SPACES:  # no cut: white space stands before the next space
                 return self._by_pieces(text)
             if len(p) <= LONGEST_KEPT:
-                ids[i] = self.parts.get(p) or self._part(p)
+                ids[i] = self.marked.get(p) or self.parts.get(p) or self._part(p)
             else:
                 if p not in long:
                     long[p] = self._whole(" " + p)
