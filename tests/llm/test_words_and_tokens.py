@@ -73,6 +73,18 @@ def test_words_before_other_marks_are_not_encoded_again(monkeypatch):
     assert len(encoded) == len(set(encoded)) <= 1 + len(words) + 6
 
 
+def test_words_before_marks_are_looked_up_without_them():
+    library, own = Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY)
+    words = ["word", "caf\u00e9", "w2", "2", "\u4f60", "it's", "'", "x'", "(a", "a\u00b2", "\u2014", "a-b"]
+    for mark in (".", ",", "!!", ",'", "'.", "***", ".***", "\u2014,", ".\nA", ")-"):
+        text = " ".join(["so", *[w + mark for w in words], "end"])
+        for _ in range(2):
+            assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    own.forget()
+    own.encode("so " + " ".join(w + m for w in ("word", "caf\u00e9", "w2") for m in (".", ",", "!!", ".***")))
+    assert not own.marked and set(own.parts) == {"word", "caf\u00e9", "w2"}
+
+
 def test_white_space_before_a_space_is_not_cut():
     library, own = Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY)
     for text in ("a  b", "a b ", " a b", "a\n b c", "a b\n ", "a \n b", "a \nb c", "a b\u00a0 c", "a b   c", "a b\n\n c", " ", "  ", "a " + "x" * 99 + " " + "x" * 99):

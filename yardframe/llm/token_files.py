@@ -10,7 +10,8 @@ are cut there, each different piece is encoded once, and its id bytes are kept f
 
 Most texts have single spaces between words. They are cut at spaces alone, and what stands behind a space is the key of
 its ids. A piece of the pattern neither runs from a letter or digit into another ASCII character than an apostrophe, so a
-word with a comma behind it, say, takes the ids of the word and of the comma.
+word with a comma behind it, say, takes the ids of the word and of the comma. Where only marks stand behind a word, they are
+stripped and both are looked up; nothing is kept for the two together.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ _PIECE = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
 _HEAD = re.compile(f"[0-9{_LETTERS}]++(?=[{_SPACES}{_MARKS}])")
 _LATIN = re.compile(f"[{_LETTERS}]+")
+_MARK_CHARS = "".join(c for c in map(chr, range(0x21, 0x7F)) if re.match(f"[{_MARKS}]", c))
 # The byte-level splitting pattern, and the bytes it shows as other characters.
 _WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _SHOWN = (*range(33, 127), *range(161, 173), *range(174, 256))
@@ -60,7 +62,7 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}  # of a space and the key
-        self.marked: dict[str, bytes] = {}  # the same, where marks stand behind a word
+        self.marked: dict[str, bytes] = {}  # the same, where more than marks stands behind a word
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -80,7 +82,7 @@ class Encoder:
         return b"".join([self.words[word] for word in cut])
 
     def _part(self, part: str) -> bytes:
-        """Ids of a space and a part that is neither empty nor long. Words are kept, with marks behind them for a while."""
+        """Ids of a space and a part that is neither empty nor long. Words are kept, with what stands behind them for a while."""
         if part.isalpha() and (part.isascii() or _LATIN.fullmatch(part)):  # one word
             ids = self._word(_SHOWN_SPACE + (part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)))
         elif head := _HEAD.match(part):
@@ -113,7 +115,8 @@ class Encoder:
         cut = text.split(" ")
         if len(cut) == 1 or not cut[0] or cut[0][-1] in _SPACES:
             return self._by_pieces(text)
-        ids = list(map(self.parts.get, cut))
+        parts = self.parts
+        ids = list(map(parts.get, cut))
         ids[0] = self._by_pieces(cut[0])
         long: dict[str, bytes] = {}
         for i in [i for i, known in enumerate(ids) if known is None]:
@@ -121,7 +124,12 @@ class Encoder:
             if not p or p[-1] in _SPACES:  # no cut: white space stands before the next space
                 return self._by_pieces(text)
             if len(p) <= LONGEST_KEPT:
-                ids[i] = self.marked.get(p) or self.parts.get(p) or self._part(p)
+                word = p.rstrip(_MARK_CHARS)
+                if len(word) < len(p) and word.isalnum() and (word.isascii() or _LATIN.fullmatch(word)):
+                    rest = p[len(word):]
+                    ids[i] = (parts.get(word) or self._part(word)) + (self.words.get(rest) or self._piece(rest))
+                else:
+                    ids[i] = parts.get(p) or self.marked.get(p) or self._part(p)
             else:
                 if p not in long:
                     long[p] = self._whole(" " + p)
