@@ -88,6 +88,17 @@ def test_tree_keeps_quotas(spark):
     assert max(total.values()) - min(total.values()) <= 1
 
 
+def test_the_driver_plans_little_for_the_mix(spark, docs_of):
+    def planned(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    one = [F.col(c) for c in ("marked", "others", "drawn")]
+    draws = spark.createDataFrame([(5, 7, 6)], "marked long, others long, drawn long")
+    assert len(planned(draws.select(mixing.hypergeometric(*one, F.lit(0.5)).alias("k")))) < 4000
+    rows = mixing.mixed_rows(docs_of([(i, prose(i, 20), "ab"[i % 2]) for i in range(20)]))
+    assert "Window" not in planned(rows)  # the table of blocks is stored, its plan is not part of that of the rows
+
+
 def test_mixing_edges(docs_of, edge_rows):
     assert mixing.mix_counts(docs_of([])).count() == 0
     assert mixing.mixed_rows(docs_of([])).count() == 0

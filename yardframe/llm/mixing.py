@@ -21,6 +21,8 @@ and text are taken together; an empty table gives an empty mix. Further columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,60 +56,73 @@ def source_targets(sizes: DataFrame, *, most: int = MOST, weights: tuple[int, ..
     return caps.withColumn("target", F.least(F.col("cap"), level * F.col("weight")))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value written into the expression once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hypergeometric(marked: Column, others: Column, drawn: Column, uniform: Column) -> Column:
     """How many of `marked` are among `drawn` of marked + others, by inversion around the mode.
 
     Weights follow from each other by the ratio of neighbouring probabilities. Twelve standard
-    deviations and twelve more values on each side leave out less than doubles can show.
+    deviations and twelve more values on each side leave out less than doubles can show. Values that are used again are
+    bound: written out, the expression of one draw would take the driver more memory to plan than the rest of the mix.
     """
-    k_all, n_rest, n = marked.cast("double"), others.cast("double"), drawn.cast("double")
-    both = k_all + n_rest
-    low, high = F.greatest(F.lit(0.0), n - n_rest), F.least(n, k_all)
-    mode = F.floor((n + 1) * (k_all + 1) / (both + 2))
-    spread = F.sqrt(F.greatest(F.lit(0.0), n * (k_all / both) * (n_rest / both) * (both - n) / F.greatest(F.lit(1.0), both - 1)))
-    width = F.ceil(12 * spread) + 12
-    first = F.greatest(low.cast("long"), F.least(mode, high.cast("long")) - width)
-    last = F.least(high.cast("long"), F.greatest(mode, low.cast("long")) + width)
-    ratio = lambda k: (k_all - k) * (n - k) / ((k + 1.0) * (n_rest - n + k + 1.0))
-    start = F.struct(F.lit(1.0).alias("weight"), F.lit(0.0).alias("sum"))
-    total = F.aggregate(F.sequence(first, last), start,
-                        lambda a, k: F.struct((a["weight"] * ratio(k)).alias("weight"), (a["sum"] + a["weight"]).alias("sum")), lambda a: a["sum"])
-    begin = F.struct(F.lit(1.0).alias("weight"), (uniform * total).alias("left"), F.lit(None).cast("long").alias("pick"))
-    step = lambda a, k: F.struct(
-        (a["weight"] * ratio(k)).alias("weight"), (a["left"] - a["weight"]).alias("left"),
-        F.when(a["pick"].isNull() & (a["left"] <= a["weight"]), k).otherwise(a["pick"]).alias("pick"))
-    picked = F.aggregate(F.sequence(first, last), begin, step, lambda a: F.coalesce(a["pick"], last))
+    def pick(v: Column, r: Column) -> Column:
+        ratio = lambda k: (v["k_all"] - k) * (v["n"] - k) / ((k + 1.0) * (v["n_rest"] - v["n"] + k + 1.0))
+        start = F.struct(F.lit(1.0).alias("weight"), F.lit(0.0).alias("sum"))
+        total = F.aggregate(F.sequence(r["first"], r["last"]), start,
+                            lambda a, k: F.struct((a["weight"] * ratio(k)).alias("weight"), (a["sum"] + a["weight"]).alias("sum")), lambda a: a["sum"])
+        begin = F.struct(F.lit(1.0).alias("weight"), (v["uniform"] * total).alias("left"), F.lit(None).cast("long").alias("pick"))
+        step = lambda a, k: F.struct(
+            (a["weight"] * ratio(k)).alias("weight"), (a["left"] - a["weight"]).alias("left"),
+            F.when(a["pick"].isNull() & (a["left"] <= a["weight"]), k).otherwise(a["pick"]).alias("pick"))
+        return F.aggregate(F.sequence(r["first"], r["last"]), begin, step, lambda a: F.coalesce(a["pick"], r["last"]))
+
+    def shape(v: Column) -> Column:
+        both = v["k_all"] + v["n_rest"]
+        spread = F.sqrt(F.greatest(F.lit(0.0), v["n"] * (v["k_all"] / both) * (v["n_rest"] / both) * (both - v["n"]) / F.greatest(F.lit(1.0), both - 1)))
+        return F.struct(F.greatest(F.lit(0.0), v["n"] - v["n_rest"]).cast("long").alias("low"), F.least(v["n"], v["k_all"]).cast("long").alias("high"),
+                        F.floor((v["n"] + 1) * (v["k_all"] + 1) / (both + 2)).alias("mode"), (F.ceil(12 * spread) + 12).alias("width"))
+
+    def span(s: Column) -> Column:
+        return F.struct(F.greatest(s["low"], F.least(s["mode"], s["high"]) - s["width"]).alias("first"),
+                        F.least(s["high"], F.greatest(s["mode"], s["low"]) + s["width"]).alias("last"))
+
+    values = F.struct(marked.cast("double").alias("k_all"), others.cast("double").alias("n_rest"), drawn.cast("double").alias("n"), uniform.alias("uniform"))
+    picked = bound(values, lambda v: bound(bound(shape(v), span), lambda r: pick(v, r)))
     return F.when((drawn <= 0) | (marked <= 0), F.lit(0).cast("long")).when(others <= 0, drawn).otherwise(picked)
 
 
-def _draw_from(level: int, seed: int):
-    """One source's share of the draws that go left, given what earlier sources of the node took."""
+def _halves(n: Column, level: Column, seed: int) -> Column:
+    """The two children of a node of the tree: half of its draws goes left, the rest goes right."""
     def draw(a: Column, p: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), p["rank"]), 11)
+        """One source's share of the draws that go left, given what earlier sources of the node took."""
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), level, n["node"], p["rank"]), 11)
         taken = hypergeometric(p["quota"], a["rest"] - p["quota"], a["left"], bits.cast("double") / float(1 << 53))
-        part = F.struct(p["rank"].alias("rank"), taken.alias("quota"))
-        return F.struct((a["left"] - taken).alias("left"), (a["rest"] - p["quota"]).alias("rest"), F.concat(a["parts"], F.array(part)).alias("parts"))
+        return bound(taken, lambda t: F.struct((a["left"] - t).alias("left"), (a["rest"] - p["quota"]).alias("rest"),
+                                               F.concat(a["parts"], F.array(F.struct(p["rank"].alias("rank"), t.alias("quota")))).alias("parts")))
+
+    def children(to_left: Column) -> Column:
+        right = F.zip_with(n["parts"], to_left, lambda p, q: F.struct(p["rank"].alias("rank"), (p["quota"] - q["quota"]).alias("quota")))
+        return F.array(F.struct((n["node"] * 2).alias("node"), to_left.alias("parts")), F.struct((n["node"] * 2 + 1).alias("node"), right.alias("parts")))
+
+    def deal(total: Column) -> Column:
+        begin = F.struct(F.floor(total / 2).cast("long").alias("left"), total.alias("rest"), F.array().cast("array<struct<rank:bigint,quota:bigint>>").alias("parts"))
+        return bound(F.aggregate(n["parts"], begin, draw, lambda a: a["parts"]), children)
 
-    return draw
+    return bound(F.aggregate(n["parts"], F.lit(0).cast("long"), lambda a, p: a + p["quota"]), deal)
 
 
 def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """quotas: rank, quota. Returns rank, shard, first: where the shard's run of the source's draws begins."""
-    node = quotas.agg(F.sort_array(F.collect_list(F.struct("rank", "quota"))).alias("parts")).withColumn("node", F.lit(0).cast("long"))
-    for level in range(levels):
-        total = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["quota"])
-        node = node.withColumn("total", total)
-        begin = F.struct(F.floor(F.col("total") / 2).cast("long").alias("left"), F.col("total").alias("rest"),
-                         F.array().cast("array<struct<rank:bigint,quota:bigint>>").alias("parts"))
-
-        draw = _draw_from(level, seed)
-        # Stored level by level: inlining the tree would repeat its expressions.
-        node = stored(node.withColumn("to_left", F.aggregate("parts", begin, draw, lambda a: a["parts"])))
-        right = F.zip_with("parts", "to_left", lambda p, q: F.struct(p["rank"].alias("rank"), (p["quota"] - q["quota"]).alias("quota")))
-        both = F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("to_left").alias("parts")),
-                                 F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("parts"))))
-        node = node.select(both.alias("child")).select("child.node", "child.parts")
-    leaves = node.select(F.col("node").alias("shard"), F.explode("parts").alias("part")).select("shard", "part.rank", "part.quota")
+    parts = quotas.agg(F.sort_array(F.collect_list(F.struct("rank", "quota"))).alias("parts"))
+    root = F.array(F.struct(F.lit(0).cast("long").alias("node"), F.col("parts").alias("parts")))
+    # One expression walks down all levels: planned level by level, it took the driver several times the memory.
+    tree = F.aggregate(F.array(*map(F.lit, range(levels))).cast("array<int>"), root,
+                       lambda nodes, level: F.flatten(F.transform(nodes, lambda n: _halves(n, level, seed))))
+    leaves = parts.select(F.explode(tree).alias("leaf")).select(F.col("leaf.node").alias("shard"), F.explode("leaf.parts").alias("part"))
+    leaves = stored(leaves.select("shard", "part.rank", "part.quota"))
     ahead = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return leaves.select("rank", "shard", F.coalesce(F.sum("quota").over(ahead), F.lit(0)).alias("first"))
 
@@ -166,9 +181,10 @@ def plan_mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source
     table = cells.join(shards, same, "left").drop("s", "b")
     table = table.join(fit, table["source"].eqNullSafe(F.col("s")) & (table["block"] == F.col("b")), "left")
     none = F.array().cast("array<int>")
-    return rows, table.select(
+    # Stored: a row for each block, whose plan is not planned again with that of the rows.
+    return rows, stored(table.select(
         table["source"], table["block"], "source_size", "target", F.coalesce("shards", none).alias("shards"),
-        F.coalesce("boundary", F.array().cast("array<bigint>")).alias("boundary"), "boundary_shard")
+        F.coalesce("boundary", F.array().cast("array<bigint>")).alias("boundary"), "boundary_shard"))
 
 
 def with_draws(rows: DataFrame, table: DataFrame) -> DataFrame:
