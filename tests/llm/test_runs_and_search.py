@@ -136,6 +136,32 @@ def test_join_on_hot_keys(spark):
     assert sorted((r["i"], r["twice"]) for r in got.collect()) == [(i, 0 if i % 3 else 2 * i) for i in range(6000)]
 
 
+def test_keys_that_are_all_hot_or_none_take_one_join(spark):
+    """Each scan, shuffle and broadcast of a plan takes memory of the driver, on small tables too."""
+    for keys, repeats in ((3000, 1), (50, 3), (1, 2000)):
+        rows = spark.createDataFrame([(i % keys, i) for i in range(keys * repeats)] + [(None, -1)], "k long, i long")
+        table = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), (F.first("k") * 2).alias("twice"))
+        got = with_value_of_key(rows, table, "k")
+        assert sorted((r["i"], r["twice"]) for r in got.collect()) == [(i, 2 * (i % keys)) for i in range(keys * repeats)]
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and "Union" not in plan
+    none = spark.createDataFrame([], "k long, n long, twice long")
+    assert with_value_of_key(rows, none, "k").collect() == []
+
+
+def test_components_end_when_neighbours_agree(spark):
+    got = components(spark.createDataFrame([(7, 3), (3, 5), (9, 9), (None, 4), (12, 11)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(3, 3), (5, 3), (7, 3), (9, 9), (11, 11), (12, 11)]
+    links = spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        got = components(links)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(9)]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 50  # 58 when every round was a whole one
+
+
 # periodic runs
 
 def plain_runs(words, min_length=24, min_exponent=3):

@@ -246,8 +246,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                                                   F.count("*").alias("rows"), F.first("prefix").alias("prefix"))
     nodes = stored(sets.withColumn("node", F.monotonically_increasing_id()))
     held = stored(_held(nodes, percent))
-    links = _links(texts, nodes, held, size, percent)
-    labels = components(links)
+    labels = _labels(texts, nodes, held, size, percent)
     named = nodes.join(labels, "node", "left").select("set", "rows", "least_key", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least_key").alias("component_id"))
     named = stored(named.join(least, "component").select("set", "rows", "component_id"))
@@ -257,8 +256,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _links(texts: DataFrame, nodes: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links that connect what the threshold connects."""
+def _labels(texts: DataFrame, nodes: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, component by confirmed links that connect what the threshold connects."""
     def parts_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = stored(nodes.select("node", "mark", "set", "rows").join(wanted, "node", "left_semi"))
@@ -300,4 +299,4 @@ def _links(texts: DataFrame, nodes: DataFrame, held: DataFrame, size: int, perce
     rest = rest.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     rest = rest.where(F.col("shared") >= _must_share(percent)).drop("shared")
     rest = stored(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    return links if rest.isEmpty() else stored(links.unionByName(_linked(measured(rest, parts_of(rest)), percent)))
+    return labels if rest.isEmpty() else components(stored(links.unionByName(_linked(measured(rest, parts_of(rest)), percent))))

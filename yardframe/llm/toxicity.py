@@ -76,10 +76,10 @@ def terms_of(text: str) -> set[str]:
     return found
 
 
-def learn_lexicon(train: DataFrame, *, size: int, least: float = 2.0) -> Lexicon:
+def learn_lexicon(train: DataFrame, totals: dict[tuple[int, int], int], *, size: int, least: float = 2.0) -> Lexicon:
     """The `size` terms (most significant first) whose odds of a toxic row are e**least times a clean one's or more.
 
-    train: text, label (0 or 1), fold (1..FOLDS).
+    train: text, label (0 or 1), fold (1..FOLDS). totals: its rows by label and fold.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -97,8 +97,6 @@ def learn_lexicon(train: DataFrame, *, size: int, least: float = 2.0) -> Lexicon
                     yield flush()
         yield flush()
 
-    rows = train.groupBy("label", "fold").count().collect()
-    totals = {(r["label"], r["fold"]): r["count"] for r in rows}
     # Only toxic rows name terms; clean rows are counted for those.
     named = train.where("label = 1").select("text", "label", "fold").mapInArrow(trimmed(count), "term string, fold int, label int, n long")
     named = named.groupBy("term").agg(F.sum("n").alias("n")).where("n >= 2").select("term")
@@ -179,7 +177,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     texts = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     # at most max_rows ids; of rows that repeat an id one text is learnt from
     train = stored(texts.join(F.broadcast(chosen), "key").groupBy("key", "label", "fold").agg(F.min("text").alias("text")))
-    counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    totals = {(r["label"], r["fold"]): r["count"] for r in train.groupBy("label", "fold").count().collect()}
+    counts = Counter()
+    for (y, _), n in totals.items():
+        counts[y] += n
     held = F.coalesce(remainder, F.lit(0)) == 0
     named = [F.col("key").alias(key)] if row is None else [F.col("key.row").alias(row), F.col("key.key").alias(key)]
     if row is not None:
@@ -190,13 +191,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
         share = counts.get(1, 0) / max(1, sum(counts.values()))
         return texts.select(*named, held.alias("held_out"), F.lit(share).alias("score"),
                             F.lit(int(share >= 0.5)).alias("predicted"))
-    lexicon = learn_lexicon(train, size=lexicon_size)
+    lexicon = learn_lexicon(train, totals, size=lexicon_size)
     vectors = stored(with_features(train, lexicon).withColumn("v", array_to_vector("features"))
                      .withColumn("y", F.col("label").cast("double")))
     fit_on, level_on = vectors.where("fold < 4"), vectors.where("fold = 4")
-    if fit_on.select("label").distinct().count() < 2:
+    if len({y for y, fold in totals if fold < 4}) < 2:
         fit_on = vectors
-    if level_on.select("label").distinct().count() < 2:
+    if len({y for y, fold in totals if fold == 4}) < 2:
         level_on = vectors
     trees = GBTClassifier(featuresCol="v", labelCol="y", maxDepth=4, maxIter=rounds, stepSize=0.2, seed=7,
                           predictionCol="vote", maxMemoryInMB=64).fit(fit_on.coalesce(6))
